@@ -1,32 +1,37 @@
 """Connected bright regions (8-neighbour) of every image.
 
-Pixels at or above the threshold are first folded into horizontal runs, so the graph has one node
-per run.  Runs that touch between consecutive rows are edges, and alternating large-star and
-small-star steps (Kiveris et al., "Connected Components in MapReduce and Beyond", SoCC 2014)
-contract each component to a star around its first run in raster order.
+Pixels at or above the threshold are folded into horizontal runs, so the graph has one node per
+run.  One shuffle by (image, band of rows) builds the runs and labels them inside their band; a
+band is bounded by the image width, whatever the sky looks like.  Only runs on both sides of a band
+border are then joined, and alternating large-star and small-star steps (Kiveris et al., "Connected
+Components in MapReduce and Beyond", SoCC 2014) merge the band labels that touch.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize, materialize_counted
 
 MAX_ROUNDS = 100
+#: Image rows labelled together.
+BAND_ROWS = 128
+#: Columns per join key when runs of neighbouring rows are matched.
+BLOCK = 1024
 
 
-def bright_runs(pixels: DataFrame, threshold: int) -> DataFrame:
-    """Horizontal runs of bright pixels: imageid, y, xs, xe and the pixel values in x order.
-
-    Runs are built inside one image row, so no group is larger than an image is wide.
-    """
-    row = Window.partitionBy("imageid", "y").orderBy("x")
+def bright_runs(pixels: DataFrame, threshold: int, band_rows: int = BAND_ROWS) -> DataFrame:
+    """Horizontal runs of bright pixels: imageid, band, y, xs, xe and the pixel values in x order."""
+    row = Window.partitionBy("imageid", "band", "y").orderBy("x")
     return (
         pixels.filter(F.col("pix") >= threshold)
-        .select("imageid", "x", "y", "pix")
+        .select("imageid", F.floor(F.col("y") / band_rows).cast("int").alias("band"), "y", "x", "pix")
+        .repartition("imageid", "band")
         .withColumn("_island", F.col("x") - F.row_number().over(row))
-        .groupBy("imageid", "y", "_island")
+        .groupBy("imageid", "band", "y", "_island")
         .agg(
             F.min("x").alias("xs"),
             F.max("x").alias("xe"),
@@ -41,26 +46,74 @@ def _node(y: str, x: str):
     return F.shiftleft(F.col(y).cast("long"), 32) + F.col(x)
 
 
-def run_edges(runs: DataFrame) -> DataFrame:
-    """Touching runs of consecutive rows as (imageid, u, v) with u in the upper row.
+def _label_band(band: pa.Table) -> pa.Table:
+    """Add ``part``: the node of the first run of each region, seen from inside one band."""
+    y = band.column("y").to_numpy().astype(np.int64)
+    xs = band.column("xs").to_numpy().astype(np.int64)
+    xe = band.column("xe").to_numpy().astype(np.int64)
+    order = np.lexsort((xs, y))
+    row, first, last = y[order] << 32, xs[order], xe[order]
+    # Runs of the next row that touch run i are neighbours in raster order: positions low..high-1.
+    below = row + (1 << 32)
+    low = np.searchsorted(row + last, below + first - 1)
+    high = np.searchsorted(row + first, below + last + 1, side="right")
+    count = np.maximum(high - low, 0)
+    upper = np.repeat(np.arange(len(row)), count)
+    lower = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)
+    lead = np.arange(len(row))
+    while True:
+        a, b = lead[upper], lead[lower]
+        apart = a != b
+        if not apart.any():
+            break
+        upper, lower, a, b = upper[apart], lower[apart], a[apart], b[apart]
+        np.minimum.at(lead, np.maximum(a, b), np.minimum(a, b))
+        while True:
+            jumped = lead[lead]
+            if np.array_equal(jumped, lead):
+                break
+            lead = jumped
+    part = np.empty(len(row), dtype=np.int64)
+    part[order] = (row + first)[lead]
+    values = band.column("pixels").cast(pa.list_(pa.field("element", pa.int32())))
+    return band.set_column(band.column_names.index("pixels"), "pixels", values).append_column(
+        "part", pa.array(part, pa.int64())
+    )
+
+
+def band_labels(runs: DataFrame) -> DataFrame:
+    """Runs with ``part``, their label inside the band."""
+    schema = "imageid int, band int, y int, xs int, xe int, pixels array<int>, part long"
+    return runs.select("imageid", "band", "y", "xs", "xe", "pixels").groupBy("imageid", "band").applyInArrow(
+        _label_band, schema
+    )
+
+
+def border_edges(runs: DataFrame, band_rows: int) -> DataFrame:
+    """Band labels that touch across a band border, as (imageid, u, v) with u < v.
 
-    The join key holds a block of x as well as the row, so a wide row is spread over many tasks: the
-    upper run is placed in each block it covers (widened by one pixel), and a pair is kept only in
-    the block where its overlap begins.
+    The join key holds a block of x as well as the row, so a wide row is spread over many tasks:
+    a run is placed in each block it covers (the upper one widened by a pixel), and a pair is kept
+    only in the block where its overlap begins.
     """
-    block = 1024
-    upper = runs.select(
-        "imageid", (F.col("y") + 1).alias("row"), F.col("xs").alias("us"), F.col("xe").alias("ue"), _node("y", "xs").alias("u")
-    ).withColumn("block", F.explode(F.sequence(F.floor((F.col("us") - 1) / block), F.floor((F.col("ue") + 1) / block))))
-    lower = runs.select(
-        "imageid", F.col("y").alias("row"), F.col("xs").alias("ls"), F.col("xe").alias("le"), _node("y", "xs").alias("v")
-    ).withColumn("block", F.explode(F.sequence(F.floor(F.col("ls") / block), F.floor(F.col("le") / block))))
+    inside = F.pmod(F.col("y"), F.lit(band_rows))
+    upper = runs.filter(inside == band_rows - 1).select(
+        "imageid", (F.col("y") + 1).alias("row"), F.col("xs").alias("us"), F.col("xe").alias("ue"), F.col("part").alias("u")
+    )
+    upper = upper.withColumn(
+        "block", F.explode(F.sequence(F.floor((F.col("us") - 1) / BLOCK), F.floor((F.col("ue") + 1) / BLOCK)))
+    )
+    lower = runs.filter(inside == 0).select(
+        "imageid", F.col("y").alias("row"), F.col("xs").alias("ls"), F.col("xe").alias("le"), F.col("part").alias("v")
+    )
+    lower = lower.withColumn("block", F.explode(F.sequence(F.floor(F.col("ls") / BLOCK), F.floor(F.col("le") / BLOCK))))
     touching = (F.col("ls") <= F.col("ue") + 1) & (F.col("le") >= F.col("us") - 1)
-    first_block = F.floor(F.greatest(F.col("ls"), F.col("us") - 1) / block)
+    first_block = F.floor(F.greatest(F.col("ls"), F.col("us") - 1) / BLOCK)
     return (
         upper.join(lower, ["imageid", "row", "block"])
         .filter(touching & (F.col("block") == first_block))
         .select("imageid", "u", "v")
+        .distinct()
     )
 
 
@@ -72,7 +125,6 @@ def _large_star(edges: DataFrame) -> DataFrame:
         .join(least, ["imageid", "u"])
         .select("imageid", F.col("m").alias("u"), "v")
         .filter(F.col("u") < F.col("v"))
-        .distinct()
     )
 
 
@@ -91,6 +143,8 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def contract(edges: DataFrame) -> DataFrame:
     """Stars (imageid, root, node) for all nodes that have an edge to a smaller node.
 
+    A large-star step keeps the number of edges, so repeated edges are only removed once per round.
+
     A minimum and a join back are used instead of a window per node: the minimum is combined
     map-side and the join can be split by adaptive execution where one node has very many edges.
     """
@@ -98,6 +152,8 @@ def contract(edges: DataFrame) -> DataFrame:
         return {"digest": F.bit_xor(F.xxhash64("imageid", "u", "v"))}
 
     current, seen = materialize_counted(edges, "cc-edges", fingerprint())
+    if seen["rows"] == 0:
+        return current.select("imageid", F.col("u").alias("root"), F.col("v").alias("node"))
     for _ in range(MAX_ROUNDS):
         step, now = materialize_counted(_small_star(_large_star(current)), "cc-round", fingerprint())
         if (now["rows"], now["digest"]) == (seen["rows"], seen["digest"]):
@@ -106,33 +162,29 @@ def contract(edges: DataFrame) -> DataFrame:
     raise RuntimeError("components did not converge")
 
 
-def label_runs(pixels: DataFrame, threshold: int) -> DataFrame:
+def label_runs(pixels: DataFrame, threshold: int, band_rows: int = BAND_ROWS) -> DataFrame:
     """Runs with the ``label`` of their component: the raster-order number of its first pixel.
 
     The runs are written once, with their pixel values; everything after this reads them instead of
     scanning the raster again.
     """
-    runs = materialize(bright_runs(pixels, threshold), "bright-runs")
-    stars = contract(run_edges(runs))
-    return (
-        runs.withColumn("node", _node("y", "xs"))
-        .join(stars, ["imageid", "node"], "left")
-        .select(
-            "imageid", F.coalesce("root", "node").alias("label"), "y", "xs", "xe", "pixels"
-        )
+    runs = materialize(band_labels(bright_runs(pixels, threshold, band_rows)), "bright-runs")
+    stars = contract(border_edges(runs, band_rows)).withColumnRenamed("node", "part")
+    return runs.join(stars, ["imageid", "part"], "left").select(
+        "imageid", F.coalesce("root", "part").alias("label"), "y", "xs", "xe", "pixels"
     )
 
 
-def run_pixels(labelled: DataFrame) -> DataFrame:
-    """Back to pixels: imageid, label, x, y, pix."""
-    return labelled.select("imageid", "label", "y", "xs", F.posexplode("pixels").alias("_i", "pix")).select(
-        "imageid", "label", (F.col("xs") + F.col("_i")).alias("x"), "y", "pix"
+def run_pixels(labelled: DataFrame, *keep: str) -> DataFrame:
+    """Back to pixels: imageid, label, x, y, pix and the columns in ``keep``."""
+    return labelled.select("imageid", "label", "y", "xs", *keep, F.posexplode("pixels").alias("_i", "pix")).select(
+        "imageid", "label", (F.col("xs") + F.col("_i")).alias("x"), "y", "pix", *keep
     )
 
 
-def label(pixels: DataFrame, threshold: int) -> DataFrame:
+def label(pixels: DataFrame, threshold: int, band_rows: int = BAND_ROWS) -> DataFrame:
     """Bright pixels with their component, named by its first pixel (first_y, first_x)."""
-    return run_pixels(label_runs(pixels, threshold)).select(
+    return run_pixels(label_runs(pixels, threshold, band_rows)).select(
         "imageid",
         F.shiftright("label", 32).cast("int").alias("first_y"),
         F.col("label").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("first_x"),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import shift_polygon
 from ..functions.ordinals import running_offset, running_total
 from ..session import materialize
-from .components import label_runs, run_pixels
+from .components import BAND_ROWS, label_runs, run_pixels
 from .outline import outline, region_boxes, short_outlines
 
 MAX_VERTICES = 50
@@ -37,8 +37,10 @@ def object_stats(labelled: DataFrame) -> DataFrame:
         "_cy", F.try_divide(F.col("_wy").cast("double"), F.col("pixelSum").cast("double"))
     )
     dx, dy = F.col("x") - F.col("_cx"), F.col("y") - F.col("_cy")
+    # The centroid is joined to runs, not to pixels; pixels only exist inside a stage.
+    centred = labelled.join(sums.select("imageid", "label", "_cx", "_cy"), ["imageid", "label"])
     spread = (
-        pixels.join(sums.select("imageid", "label", "_cx", "_cy"), ["imageid", "label"])
+        run_pixels(centred, "_cx", "_cy")
         .groupBy("imageid", "label")
         .agg(F.sum(F.col("pix") * F.sqrt(dx * dx + dy * dy)).alias("_spread"))
     )
@@ -124,11 +126,12 @@ def cook(
     max_vertices: int | None = MAX_VERTICES,
     start_id: int = 1,
     imageid: int | None = None,
+    band_rows: int = BAND_ROWS,
 ) -> DataFrame:
     """Observations of all images, or of one."""
     if imageid is not None:
         pixels = pixels.filter(F.col("imageid") == imageid)
-    labelled = materialize(label_runs(pixels, threshold), "labelled-runs")
+    labelled = materialize(label_runs(pixels, threshold, band_rows), "labelled-runs")
     return observations_of(labelled, images, max_vertices, start_id).drop("label")
 
 

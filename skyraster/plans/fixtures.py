@@ -29,6 +29,8 @@ IMAGE_SIDE = 100
 IMAGE_RANGE = 120
 X_REPEAT = 70
 GAP_Y = 10
+# Small bands, so that regions cross their borders.
+BAND_ROWS = 32
 THRESHOLD = 14000
 LOW_THRESHOLD = 13500
 D2, T = 3, 3
@@ -199,7 +201,7 @@ class SkyTables:
 
     @cached_property
     def labelled(self) -> DataFrame:
-        return materialize(label_runs(self.pixels, THRESHOLD), "fixture-labels")
+        return materialize(label_runs(self.pixels, THRESHOLD, BAND_ROWS), "fixture-labels")
 
     @cached_property
     def cooked_obs(self) -> DataFrame:

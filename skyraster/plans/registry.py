@@ -289,7 +289,7 @@ def groups_in_box(sky: SkyTables) -> DataFrame:
 
 @query
 def obs_cutoff(sky: SkyTables) -> DataFrame:
-    labelled = materialize(components.label_runs(sky.pixels, fx.LOW_THRESHOLD), "labelled-runs")
+    labelled = materialize(components.label_runs(sky.pixels, fx.LOW_THRESHOLD, band_rows=fx.BAND_ROWS), "labelled-runs")
     short = short_outlines(labelled, region_boxes(labelled), cook.MAX_VERTICES)
     return short.select("imageid", *_first_pixel(), F.size("polygon").cast("long").alias("vertices"))
 
@@ -463,12 +463,12 @@ def obs_union(sky: SkyTables) -> DataFrame:
 
 @query
 def label_components(sky: SkyTables) -> DataFrame:
-    return components.label(sky.pixels, fx.LOW_THRESHOLD)
+    return components.label(sky.pixels, fx.LOW_THRESHOLD, band_rows=fx.BAND_ROWS)
 
 
 @query
 def outline_of_regions(sky: SkyTables) -> DataFrame:
-    labelled = materialize(components.label_runs(sky.pixels, fx.LOW_THRESHOLD), "labelled-runs")
+    labelled = materialize(components.label_runs(sky.pixels, fx.LOW_THRESHOLD, band_rows=fx.BAND_ROWS), "labelled-runs")
     return outline(labelled).select("imageid", *_first_pixel(), "ord", "x", "y")
 
 
@@ -483,7 +483,7 @@ def obs_ids(sky: SkyTables) -> DataFrame:
 
 @query
 def q2_cook(sky: SkyTables) -> DataFrame:
-    found = cook.cook(sky.pixels, sky.images, fx.LOW_THRESHOLD)
+    found = cook.cook(sky.pixels, sky.images, fx.LOW_THRESHOLD, band_rows=fx.BAND_ROWS)
     return found.withColumns(
         {"outline": polygon_wkt(F.col("polygon")), "averageDist": F.round("averageDist", 6)}
     ).select(*OBS_SCALARS.fieldNames(), "outline")
@@ -569,4 +569,6 @@ def stream_groups(sky: SkyTables) -> DataFrame:
 @query
 def stream_pairs(sky: SkyTables) -> DataFrame:
     state = scratch_path(sky.spark, "stream-pairs")
-    return pair_stream.stream_pairs(sky.spark, _cycle_files(sky), cycles.OBS_STATE, state, fx.D2, fx.T)
+    return pair_stream.stream_pairs(
+        sky.spark, _cycle_files(sky), cycles.OBS_STATE, state, fx.D2, fx.T, partitions=4
+    )

@@ -73,7 +73,7 @@ def gen_pixels(
     world: int = WORLD_SIZE,
     tile_size: int = TILE_SIZE,
     ratio: int = TILE_RATIO,
-    rows_per_task: int | None = None,
+    tasks: int | None = None,
 ) -> DataFrame:
     """All pixels of the images in ``corners`` (t, x, y).
 
@@ -87,7 +87,10 @@ def gen_pixels(
         _shifted(F.col("y"), idiv(F.col("t"), 3) % 3).alias("_y0"),
         F.explode(F.sequence(F.lit(0), F.lit(side - 1))).alias("y"),
     )
-    rows = rows.repartition(F.col("t"), F.col("y")) if rows_per_task is None else rows.repartition(rows_per_task, "t", "y")
+    # A stated number of partitions: adaptive execution would merge them by the size of the rows
+    # before they are expanded.
+    tasks = tasks or int(corners.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(tasks, "t", "y")
     spots = rows.withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(side - 1)))).withColumns(
         {"_wx": F.col("x") + F.col("_x0"), "_wy": F.col("y") + F.col("_y0")}
     )
@@ -97,6 +100,9 @@ def gen_pixels(
             "tile_num": F.substring(F.lit(TILE_SEQUENCE), (sequence % len(TILE_SEQUENCE) + 1).cast("int"), F.lit(1)).cast("int"),
             "tx": (F.col("_wx") % x_repeat).cast("int"),
             "ty": (F.col("_wy") % y_repeat).cast("int"),
+            "imageid": F.col("t").cast("int"),
+            "tile": tile_of(F.col("x"), F.col("y"), tile_size, ratio),
+            "_seed": (F.col("t") * 3141 + F.col("_wx") * 592 + F.col("_wy")) % 65359,
         }
     )
     base = tiles.select("tile_num", "tx", "ty", F.col("pix").alias("_raw"))
@@ -108,21 +114,15 @@ def gen_pixels(
         }
     )
     fudged = F.least(F.greatest(F.col("_raw") + (F.col("t") % 5 - 2) * 10, F.lit(0)), F.lit(MAX_PIX)).cast("int")
-    out = found.withColumn("sat", F.when(F.col("_raw") == MAX_PIX, 1).otherwise(0)).withColumn("pix", fudged)
-    seed = (F.col("t") * 3141 + F.col("_wx") * 592 + F.col("_wy")) % 65359
     noise = {
-        f"v{k}": (F.lit(float(mean)) + F.lit(float(scale)) * bench_rand_norm(seed * 6 + k)).cast("int")
+        f"v{k}": (F.lit(float(mean)) + F.lit(float(scale)) * bench_rand_norm(F.col("_seed"), 6, k)).cast("int")
         for k, (mean, scale) in enumerate(NOISE, start=1)
     }
-    out = out.withColumns(
-        {
-            "var": F.sqrt(F.col("pix").cast("double")).cast("int"),
-            "v0": rescaled(F.col("pix")),
-            "imageid": F.col("t").cast("int"),
-            "tile": tile_of(F.col("x"), F.col("y"), tile_size, ratio),
-            **noise,
-        }
-    )
+    # Two projections of about equal size keep each generated method below the JVM's compile limit.
+    first = {name: noise[name] for name in ("v1", "v2", "v3")}
+    second = {name: noise[name] for name in ("v4", "v5", "v6")}
+    out = found.withColumns({"sat": F.when(F.col("_raw") == MAX_PIX, 1).otherwise(0), "pix": fudged, **first})
+    out = out.withColumns({"var": F.sqrt(F.col("pix").cast("double")).cast("int"), "v0": rescaled(F.col("pix")), **second})
     return out.select(*PIXELS.fieldNames())
 
 

@@ -59,12 +59,27 @@ def motion_pair_stream(
 
 
 def stream_pairs(
-    spark: SparkSession, source: str, schema: T.StructType, path: str, d2: float, t: int, files_per_batch: int = 1
+    spark: SparkSession,
+    source: str,
+    schema: T.StructType,
+    path: str,
+    d2: float,
+    t: int,
+    files_per_batch: int = 1,
+    partitions: int | None = None,
 ) -> DataFrame:
-    """Run all available files of ``source`` through the join and return the pairs written."""
+    """Run all available files of ``source`` through the join and return the pairs written.
+
+    The number of state partitions is fixed for the life of a stream; ``partitions`` sets it for
+    this stream only (default: the session's shuffle partitions).
+    """
+    session = spark.newSession()
+    session.conf.set(
+        "spark.sql.shuffle.partitions", str(partitions or spark.conf.get("spark.sql.shuffle.partitions"))
+    )
 
     def stream() -> DataFrame:
-        return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
+        return session.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
 
     pairs = motion_pair_stream(stream(), stream(), d2, t)
     query = (
