@@ -26,6 +26,7 @@ SIZES = {
 }
 #: name: (offset, scale) of the random attributes v1..v6
 NOISE = [(0, 65535), (32768, 32768), (-500_000_000, 1_000_000), (0, 10), (1000, 100), (1, 0.5)]
+NOISE_SEEDS = 65359
 MAX_PIX = 65535
 CENTRAL_SHARE = 0.8
 
@@ -62,6 +63,18 @@ def _shifted(value: Column, step: Column) -> Column:
     return F.greatest(value + step - 1, F.lit(0))
 
 
+def noise_table(frame: DataFrame) -> DataFrame:
+    """The random attributes v1..v6 of every noise seed."""
+    seeds = frame.sparkSession.range(NOISE_SEEDS).withColumnRenamed("id", "_seed")
+    return seeds.select(
+        "_seed",
+        *[
+            (F.lit(float(mean)) + F.lit(float(scale)) * bench_rand_norm(F.col("_seed"), 6, k)).cast("int").alias(f"v{k}")
+            for k, (mean, scale) in enumerate(NOISE, start=1)
+        ],
+    )
+
+
 def gen_pixels(
     corners: DataFrame,
     tiles: DataFrame,
@@ -102,7 +115,7 @@ def gen_pixels(
             "ty": (F.col("_wy") % y_repeat).cast("int"),
             "imageid": F.col("t").cast("int"),
             "tile": tile_of(F.col("x"), F.col("y"), tile_size, ratio),
-            "_seed": (F.col("t") * 3141 + F.col("_wx") * 592 + F.col("_wy")) % 65359,
+            "_seed": (F.col("t") * 3141 + F.col("_wx") * 592 + F.col("_wy")) % NOISE_SEEDS,
         }
     )
     base = tiles.select("tile_num", "tx", "ty", F.col("pix").alias("_raw"))
@@ -114,15 +127,10 @@ def gen_pixels(
         }
     )
     fudged = F.least(F.greatest(F.col("_raw") + (F.col("t") % 5 - 2) * 10, F.lit(0)), F.lit(MAX_PIX)).cast("int")
-    noise = {
-        f"v{k}": (F.lit(float(mean)) + F.lit(float(scale)) * bench_rand_norm(F.col("_seed"), 6, k)).cast("int")
-        for k, (mean, scale) in enumerate(NOISE, start=1)
-    }
-    # Two projections of about equal size keep each generated method below the JVM's compile limit.
-    first = {name: noise[name] for name in ("v1", "v2", "v3")}
-    second = {name: noise[name] for name in ("v4", "v5", "v6")}
-    out = found.withColumns({"sat": F.when(F.col("_raw") == MAX_PIX, 1).otherwise(0), "pix": fudged, **first})
-    out = out.withColumns({"var": F.sqrt(F.col("pix").cast("double")).cast("int"), "v0": rescaled(F.col("pix")), **second})
+    out = found.withColumns({"sat": F.when(F.col("_raw") == MAX_PIX, 1).otherwise(0), "pix": fudged})
+    out = out.withColumns({"var": F.sqrt(F.col("pix").cast("double")).cast("int"), "v0": rescaled(F.col("pix"))})
+    # The noise has NOISE_SEEDS different rows whatever the number of pixels: a broadcast of fixed size.
+    out = out.join(F.broadcast(noise_table(corners)), "_seed")
     return out.select(*PIXELS.fieldNames())
 
 
