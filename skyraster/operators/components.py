@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize, materialize_counted
@@ -23,36 +23,23 @@ BAND_ROWS = 128
 BLOCK = 1024
 
 
-def bright_runs(pixels: DataFrame, threshold: int, band_rows: int = BAND_ROWS) -> DataFrame:
-    """Horizontal runs of bright pixels: imageid, band, y, xs, xe and the pixel values in x order."""
-    row = Window.partitionBy("imageid", "band", "y").orderBy("x")
-    return (
-        pixels.filter(F.col("pix") >= threshold)
-        .select("imageid", F.floor(F.col("y") / band_rows).cast("int").alias("band"), "y", "x", "pix")
-        .repartition("imageid", "band")
-        .withColumn("_island", F.col("x") - F.row_number().over(row))
-        .groupBy("imageid", "band", "y", "_island")
-        .agg(
-            F.min("x").alias("xs"),
-            F.max("x").alias("xe"),
-            F.transform(F.array_sort(F.collect_list(F.struct("x", "pix"))), lambda p: p["pix"]).alias("pixels"),
-        )
-        .drop("_island")
-    )
-
-
 def _node(y: str, x: str):
     """Raster-order number of a pixel inside its image."""
     return F.shiftleft(F.col(y).cast("long"), 32) + F.col(x)
 
 
 def _label_band(band: pa.Table) -> pa.Table:
-    """Add ``part``: the node of the first run of each region, seen from inside one band."""
+    """Fold the bright pixels of one band into runs and label the runs inside the band.
+
+    ``part`` of a run is the node of the first run, in raster order, of its region in the band.
+    """
     y = band.column("y").to_numpy().astype(np.int64)
-    xs = band.column("xs").to_numpy().astype(np.int64)
-    xe = band.column("xe").to_numpy().astype(np.int64)
-    order = np.lexsort((xs, y))
-    row, first, last = y[order] << 32, xs[order], xe[order]
+    x = band.column("x").to_numpy().astype(np.int64)
+    order = np.lexsort((x, y))
+    y, x, pix = y[order], x[order], band.column("pix").to_numpy()[order]
+    starts = np.flatnonzero(np.concatenate([[True], (np.diff(y) != 0) | (np.diff(x) != 1)]))
+    ends = np.append(starts[1:], len(x))
+    row, first, last = y[starts] << 32, x[starts], x[ends - 1]
     # Runs of the next row that touch run i are neighbours in raster order: positions low..high-1.
     below = row + (1 << 32)
     low = np.searchsorted(row + last, below + first - 1)
@@ -73,19 +60,29 @@ def _label_band(band: pa.Table) -> pa.Table:
             if np.array_equal(jumped, lead):
                 break
             lead = jumped
-    part = np.empty(len(row), dtype=np.int64)
-    part[order] = (row + first)[lead]
-    values = band.column("pixels").cast(pa.list_(pa.field("element", pa.int32())))
-    return band.set_column(band.column_names.index("pixels"), "pixels", values).append_column(
-        "part", pa.array(part, pa.int64())
+    image = band.column("imageid")[0].as_py()
+    return pa.table(
+        {
+            "imageid": pa.array(np.full(len(row), image), pa.int32()),
+            "y": pa.array(y[starts], pa.int32()),
+            "xs": pa.array(first, pa.int32()),
+            "xe": pa.array(last, pa.int32()),
+            "pixels": pa.ListArray.from_arrays(
+                pa.array(np.append(starts, len(x)), pa.int32()), pa.array(pix, pa.int32())
+            ).cast(pa.list_(pa.field("element", pa.int32()))),
+            "part": pa.array((row + first)[lead], pa.int64()),
+        }
     )
 
 
-def band_labels(runs: DataFrame) -> DataFrame:
-    """Runs with ``part``, their label inside the band."""
-    schema = "imageid int, band int, y int, xs int, xe int, pixels array<int>, part long"
-    return runs.select("imageid", "band", "y", "xs", "xe", "pixels").groupBy("imageid", "band").applyInArrow(
-        _label_band, schema
+def bright_runs(pixels: DataFrame, threshold: int, band_rows: int = BAND_ROWS) -> DataFrame:
+    """Horizontal runs of bright pixels: imageid, y, xs, xe, the pixel values in x order, and the
+    label ``part`` of the run inside its band of ``band_rows`` image rows."""
+    return (
+        pixels.filter(F.col("pix") >= threshold)
+        .select("imageid", F.floor(F.col("y") / band_rows).cast("int").alias("band"), "y", "x", "pix")
+        .groupBy("imageid", "band")
+        .applyInArrow(_label_band, "imageid int, y int, xs int, xe int, pixels array<int>, part long")
     )
 
 
@@ -168,7 +165,7 @@ def label_runs(pixels: DataFrame, threshold: int, band_rows: int = BAND_ROWS) ->
     The runs are written once, with their pixel values; everything after this reads them instead of
     scanning the raster again.
     """
-    runs = materialize(band_labels(bright_runs(pixels, threshold, band_rows)), "bright-runs")
+    runs = materialize(bright_runs(pixels, threshold, band_rows), "bright-runs")
     stars = contract(border_edges(runs, band_rows)).withColumnRenamed("node", "part")
     return runs.join(stars, ["imageid", "part"], "left").select(
         "imageid", F.coalesce("root", "part").alias("label"), "y", "xs", "xe", "pixels"

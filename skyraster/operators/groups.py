@@ -25,12 +25,13 @@ def accumulate(
     members: DataFrame | None = None,
     singletons_of: DataFrame | None = None,
     hops: int = HOPS_PER_ROUND,
+    only_new: bool = False,
 ) -> DataFrame:
     """Membership table (obsgroupid, obsid) of all groups that ``pairs`` form.
 
     ``members`` holds existing groups: an observation that already has groups passes those on
-    instead of starting one, and the result contains old and new rows.  ``singletons_of``
-    also gives a group of its own to each of its observations that has no predecessor.
+    instead of starting one, and the result contains old and new rows (``only_new``: new rows
+    only).  ``singletons_of`` also gives a group of its own to each of its observations that has no predecessor.
 
     Only memberships found in the last round are extended.  Each round is written to the shared
     folder; known rows are never rewritten.
@@ -48,7 +49,7 @@ def accumulate(
         seeds = members.join(edges.select(F.col("existing_obsid").alias("obsid")), "obsid", "left_semi")
     fresh = roots.select(F.col("obsid").alias("obsgroupid"), "obsid")
     fresh = materialize(fresh, "group-round")
-    known = fresh if members is None else members.unionByName(fresh)
+    known, added = (fresh if members is None else members.unionByName(fresh)), fresh
     frontier = fresh if members is None else materialize(seeds.unionByName(fresh), "group-seeds")
 
     while True:
@@ -70,11 +71,11 @@ def accumulate(
         found, seen = materialize_counted(
             found, "group-round", {"open": F.sum(F.when(F.col("hop") == hops, 1).otherwise(0))}
         )
-        if seen["rows"] == 0:
-            return known
-        known = known.unionByName(found.select("obsgroupid", "obsid"))
+        if seen["rows"]:
+            known = known.unionByName(found.select("obsgroupid", "obsid"))
+            added = added.unionByName(found.select("obsgroupid", "obsid"))
         if not seen["open"]:
-            return known
+            return added if only_new else known
         frontier = found.filter(F.col("hop") == hops).select("obsgroupid", "obsid")
 
 

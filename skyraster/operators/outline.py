@@ -121,7 +121,7 @@ def _region_rows(labelled: DataFrame, boxes: DataFrame) -> DataFrame:
         .groupBy("imageid", "label", "minx", "miny", "n", "y")
         .agg(F.bit_or("_bits").alias("_mask"))
         .groupBy("imageid", "label", "minx", "miny", "n")
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("y", "_mask"))), lambda r: r["_mask"]).alias("masks"))
+        .agg(F.sort_array(F.collect_list(F.struct("y", "_mask")))["_mask"].alias("masks"))
     )
 
 
@@ -249,7 +249,7 @@ def short_outlines(labelled: DataFrame, boxes: DataFrame, max_vertices: int) ->
             .filter(F.col("_n") <= max_vertices)
             .join(vertices, ["imageid", "label"])
             .groupBy("imageid", "label")
-            .agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "x", "y"))), lambda v: F.struct(v["x"], v["y"])).alias("polygon"))
+            .agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "x", "y"))), lambda v: F.struct(v["x"], v["y"])).alias("polygon"))
         )
     near = (F.col("maxx") - F.col("minx") < side) & (F.col("maxy") - F.col("miny") < side)
     return _small_outlines(labelled, boxes.filter(near), max_vertices)

@@ -75,6 +75,15 @@ def noise_table(frame: DataFrame) -> DataFrame:
     )
 
 
+def _tile_rows(tiles: DataFrame, x_size: int) -> DataFrame:
+    """Base tiles as one array of ``x_size`` pixel values per tile row; missing pixels are 0."""
+    rows = tiles.groupBy("tile_num", "ty").agg(F.sort_array(F.collect_list(F.struct("tx", "pix"))).alias("_row"))
+    known = F.map_from_entries("_row")
+    spread = F.transform(F.sequence(F.lit(0), F.lit(x_size - 1)), lambda i: F.coalesce(F.try_element_at(known, i), F.lit(0)))
+    dense = F.col("_row")["pix"]
+    return rows.select("tile_num", "ty", F.when(F.size("_row") == x_size, dense).otherwise(spread).alias("_row"))
+
+
 def gen_pixels(
     corners: DataFrame,
     tiles: DataFrame,
@@ -88,50 +97,56 @@ def gen_pixels(
     ratio: int = TILE_RATIO,
     tasks: int | None = None,
 ) -> DataFrame:
-    """All pixels of the images in ``corners`` (t, x, y).
+    """All pixels of the images in ``corners`` (t, x, y), from ``tiles`` (tile_num, tx, ty, pix).
 
-    Images are first cut into rows and the rows spread over the cluster, then each row is expanded
-    to its pixels.  ``tiles`` (tile_num, tx, ty, pix) is joined by equality; Spark broadcasts it
-    when its size is below the session's limit.
+    An image row is cut where the base tile changes.  These segments, not pixels, are joined with
+    the tile rows, and are expanded to pixels behind the join: what is shuffled is a few dozen bytes
+    per segment.  ``tasks`` is a stated number of partitions (default: the session's shuffle
+    partitions), because adaptive execution would merge them by the size of the segments.
     """
+    tasks = tasks or int(corners.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = corners.select(
         F.col("t").cast("long").alias("t"),
         _shifted(F.col("x"), F.col("t") % 3).alias("_x0"),
         _shifted(F.col("y"), idiv(F.col("t"), 3) % 3).alias("_y0"),
         F.explode(F.sequence(F.lit(0), F.lit(side - 1))).alias("y"),
-    )
-    # A stated number of partitions: adaptive execution would merge them by the size of the rows
-    # before they are expanded.
-    tasks = tasks or int(corners.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(tasks, "t", "y")
-    spots = rows.withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(side - 1)))).withColumns(
-        {"_wx": F.col("x") + F.col("_x0"), "_wy": F.col("y") + F.col("_y0")}
-    )
-    sequence = idiv(F.col("_wx"), x_repeat) + idiv(F.col("_wy"), y_repeat) * (world // x_repeat + 1)
-    spots = spots.withColumns(
+    ).withColumn("_wy", F.col("y") + F.col("_y0"))
+    columns = F.sequence(idiv(F.col("_x0"), x_repeat), idiv(F.col("_x0") + (side - 1), x_repeat))
+    segments = rows.withColumn("_column", F.explode(columns)).withColumns(
         {
-            "tile_num": F.substring(F.lit(TILE_SEQUENCE), (sequence % len(TILE_SEQUENCE) + 1).cast("int"), F.lit(1)).cast("int"),
-            "tx": (F.col("_wx") % x_repeat).cast("int"),
+            "_place": (F.col("_column") + idiv(F.col("_wy"), y_repeat) * (world // x_repeat + 1)) % len(TILE_SEQUENCE),
             "ty": (F.col("_wy") % y_repeat).cast("int"),
-            "imageid": F.col("t").cast("int"),
-            "tile": tile_of(F.col("x"), F.col("y"), tile_size, ratio),
-            "_seed": (F.col("t") * 3141 + F.col("_wx") * 592 + F.col("_wy")) % NOISE_SEEDS,
+            "_from": F.greatest(F.col("_x0"), F.col("_column") * x_repeat),
+            "_to": F.least(F.col("_x0") + side, (F.col("_column") + 1) * x_repeat) - 1,
         }
     )
-    base = tiles.select("tile_num", "tx", "ty", F.col("pix").alias("_raw"))
+    segments = segments.withColumn(
+        "tile_num", F.substring(F.lit(TILE_SEQUENCE), (F.col("_place") + 1).cast("int"), F.lit(1)).cast("int")
+    ).repartition(tasks, "tile_num", "ty")
+    base = _tile_rows(tiles.filter((F.col("tx") < x_size) & (F.col("ty") < y_size)), x_size)
+    spots = (
+        segments.join(base, ["tile_num", "ty"], "left")
+        .withColumn("_wx", F.explode(F.sequence("_from", "_to")))
+        .withColumns(
+            {"x": (F.col("_wx") - F.col("_x0")).cast("int"), "tx": (F.col("_wx") - F.col("_column") * x_repeat).cast("int")}
+        )
+    )
     inside = (F.col("tx") < x_size) & (F.col("ty") < y_size)
-    found = spots.join(base, ["tile_num", "tx", "ty"], "left").withColumns(
-        {
-            "valid": F.when(inside, 1).otherwise(0),
-            "_raw": F.when(inside, F.coalesce("_raw", F.lit(0))).otherwise(0),
-        }
+    found = spots.select(
+        F.col("t").cast("int").alias("imageid"),
+        tile_of(F.col("x"), F.col("y"), tile_size, ratio).alias("tile"),
+        "x",
+        "y",
+        F.when(inside, 1).otherwise(0).alias("valid"),
+        F.when(inside, F.coalesce(F.get("_row", F.col("tx")), F.lit(0))).otherwise(0).alias("_raw"),
+        ((F.col("t") % 5 - 2) * 10).cast("int").alias("_fudge"),
+        ((F.col("t") * 3141 + F.col("_wx") * 592 + F.col("_wy")) % NOISE_SEEDS).alias("_seed"),
     )
-    fudged = F.least(F.greatest(F.col("_raw") + (F.col("t") % 5 - 2) * 10, F.lit(0)), F.lit(MAX_PIX)).cast("int")
+    fudged = F.least(F.greatest(F.col("_raw") + F.col("_fudge"), F.lit(0)), F.lit(MAX_PIX)).cast("int")
     out = found.withColumns({"sat": F.when(F.col("_raw") == MAX_PIX, 1).otherwise(0), "pix": fudged})
     out = out.withColumns({"var": F.sqrt(F.col("pix").cast("double")).cast("int"), "v0": rescaled(F.col("pix"))})
     # The noise has NOISE_SEEDS different rows whatever the number of pixels: a broadcast of fixed size.
-    out = out.join(F.broadcast(noise_table(corners)), "_seed")
-    return out.select(*PIXELS.fieldNames())
+    return out.join(F.broadcast(noise_table(corners)), "_seed").select(*PIXELS.fieldNames())
 
 
 def rescaled(pix: Column) -> Column:
