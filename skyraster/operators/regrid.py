@@ -12,28 +12,21 @@ from .pixel_stats import box_pixels
 MODES = ("area", "compat")
 
 
-def _area_parts(v: Column) -> Column:
-    """Targets of a coordinate with the overlapped share in thirds (true area overlap)."""
-    left = idiv(v * 3, 10)
-    digit = v % 10
-    near = F.when(digit == 3, 1).when(digit == 6, 2).otherwise(3)
-    here = F.struct(left.alias("cell"), near.cast("long").alias("share"))
-    beyond = F.struct((left + 1).alias("cell"), (F.lit(3) - near).cast("long").alias("share"))
-    return F.when(digit.isin(3, 6), F.array(here, beyond)).otherwise(F.array(here))
+def _cells(v: Column, mode: str) -> Column:
+    """Coarse cells that coordinate ``v`` contributes to."""
+    first = idiv(v * 3, 10).cast("int")
+    return F.sequence(first, idiv(v * 3 + 2, 10).cast("int") if mode == "area" else first + 1)
 
 
-def _compat_parts(v: Column, horizontal: bool) -> Column:
-    """Both neighbours, with the shares the older tool used: thirds across, ninths down."""
-    left = idiv(v * 3, 10)
-    third = v % 10 == 3
-    if horizontal:
-        near, far = F.when(third, 2).otherwise(1), F.when(third, 1).otherwise(2)
-    else:
-        near, far = F.when(third, 6).otherwise(3), F.lit(2)
-    return F.array(
-        F.struct(left.alias("cell"), near.cast("long").alias("share")),
-        F.struct((left + 1).alias("cell"), far.cast("long").alias("share")),
-    )
+def _share(v: Column, cell: Column, mode: str, across: bool) -> Column:
+    """Weight of ``v`` in one cell.  ``area``: overlap of [0.3 v, 0.3 v + 0.3) with the cell, in thirds
+    of a pixel.  ``compat``: the shares the older tool used, in thirds across and ninths down."""
+    if mode == "area":
+        return F.least(v * 3 + 3, cell * 10 + 10) - F.greatest(v * 3, cell * 10)
+    near, third = cell == idiv(v * 3, 10), v % 10 == 3
+    if across:
+        return F.when(near == third, 2).otherwise(1)
+    return F.when(~near, 2).when(third, 6).otherwise(3)
 
 
 def regrid(
@@ -68,24 +61,26 @@ def regrid(
             "imageid",
             (F.col("x") - x0).alias("x"),
             (F.col("y") - y0).alias("y"),
-            F.col("pix").cast("long").alias("pix"),
-            F.col("var").cast("long").alias("var"),
+            "pix",
+            "var",
             "valid",
         )
     )
-    if mode == "area":
-        across, down, scale = _area_parts(F.col("x")), _area_parts(F.col("y")), 100.0
-    else:
-        across, down, scale = _compat_parts(F.col("x"), True), _compat_parts(F.col("y"), False), 300.0
+    scale = 100.0 if mode == "area" else 300.0
+    # explode_outer: a plain explode would make Spark evaluate every array once more as a filter.
     parts = (
-        source.select("imageid", "pix", "var", "valid", F.explode(across).alias("h"), down.alias("downs"))
-        .select("imageid", "pix", "var", "valid", "h", F.explode("downs").alias("v"))
+        source.withColumn("_h", F.explode_outer(_cells(F.col("x"), mode)))
+        .withColumn("_v", F.explode_outer(_cells(F.col("y"), mode)))
+        .withColumn(
+            "_w",
+            _share(F.col("x"), F.col("_h"), mode, True) * _share(F.col("y"), F.col("_v"), mode, False).cast("long"),
+        )
         .select(
             "imageid",
-            F.col("h.cell").cast("int").alias("x"),
-            F.col("v.cell").cast("int").alias("y"),
-            (F.col("h.share") * F.col("v.share") * F.col("pix")).alias("wpix"),
-            (F.col("h.share") * F.col("v.share") * F.col("var")).alias("wvar"),
+            F.col("_h").alias("x"),
+            F.col("_v").alias("y"),
+            (F.col("_w") * F.col("pix")).alias("wpix"),
+            (F.col("_w") * F.col("var")).alias("wvar"),
             "valid",
         )
     )
