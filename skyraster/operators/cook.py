@@ -7,23 +7,30 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import shift_polygon
 from ..functions.ordinals import running_offset, running_total
-from ..session import materialize
+from ..session import materialize, materialize_counted
 from .components import BAND_ROWS, label_runs, run_pixels
 from .outline import outline, region_boxes, short_outlines
 
 MAX_VERTICES = 50
+#: Regions with more pixels than this are not gathered in one task.
+HOT_PIXELS = 4_000_000
+#: Their table (about 40 bytes a row) is broadcast up to this many rows.
+BROADCAST_HOT_REGIONS = 200_000
 #: Image rows per slice when objects are numbered.
 ROWS_PER_SLICE = 256
 
 
-def object_stats(labelled: DataFrame) -> DataFrame:
+def object_stats(labelled: DataFrame, hot_pixels: int = HOT_PIXELS) -> DataFrame:
     """Per region: pixelSum, intensity-weighted centroid and averageDist.
 
     The centroid is truncated to integers in the result; the average distance uses it untruncated.
-    Both passes are plain aggregations, so a region of any size is combined map-side.
+    The second pass joins the centroid to the runs.  Regions with more than ``hot_pixels`` pixels
+    are few for any amount of data (at most the pixel count over ``hot_pixels``), so their
+    centroids are broadcast and their runs are summed where they are read.
     """
+    key = ["imageid", "label"]
     pixels = run_pixels(labelled).withColumn("pix", F.col("pix").cast("long"))
-    sums = pixels.groupBy("imageid", "label").agg(
+    sums = pixels.groupBy(*key).agg(
         F.sum("pix").alias("pixelSum"),
         F.sum(F.col("pix") * F.col("x")).alias("_wx"),
         F.sum(F.col("pix") * F.col("y")).alias("_wy"),
@@ -33,17 +40,28 @@ def object_stats(labelled: DataFrame) -> DataFrame:
         F.max("x").alias("maxx"),
         F.max("y").alias("maxy"),
     )
-    sums = sums.withColumn("_cx", F.try_divide(F.col("_wx").cast("double"), F.col("pixelSum").cast("double"))).withColumn(
-        "_cy", F.try_divide(F.col("_wy").cast("double"), F.col("pixelSum").cast("double"))
+    sums = sums.withColumns(
+        {
+            "_cx": F.try_divide(F.col("_wx").cast("double"), F.col("pixelSum").cast("double")),
+            "_cy": F.try_divide(F.col("_wy").cast("double"), F.col("pixelSum").cast("double")),
+        }
     )
+    is_hot = F.col("n") > hot_pixels
+    sums, seen = materialize_counted(sums, "object-sums", {"hot": F.sum(F.when(is_hot, 1).otherwise(0))})
     dx, dy = F.col("x") - F.col("_cx"), F.col("y") - F.col("_cy")
-    # The centroid is joined to runs, not to pixels; pixels only exist inside a stage.
-    centred = labelled.join(sums.select("imageid", "label", "_cx", "_cy"), ["imageid", "label"])
-    spread = (
-        run_pixels(centred, "_cx", "_cy")
-        .groupBy("imageid", "label")
-        .agg(F.sum(F.col("pix") * F.sqrt(dx * dx + dy * dy)).alias("_spread"))
-    )
+
+    def spread_of(centred: DataFrame) -> DataFrame:
+        return run_pixels(centred, "_cx", "_cy").groupBy(*key).agg(
+            F.sum(F.col("pix") * F.sqrt(dx * dx + dy * dy)).alias("_spread")
+        )
+
+    centres = sums.select(*key, "_cx", "_cy")
+    if seen["hot"] and seen["hot"] <= BROADCAST_HOT_REGIONS:
+        hot = F.broadcast(sums.filter(is_hot).select(*key, "_cx", "_cy"))
+        rest = labelled.join(hot.select(*key), key, "left_anti")
+        spread = spread_of(labelled.join(hot, key)).unionByName(spread_of(rest.join(centres, key)))
+    else:
+        spread = spread_of(labelled.join(centres, key))
     return sums.join(spread, ["imageid", "label"]).select(
         "imageid",
         "label",

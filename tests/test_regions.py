@@ -5,7 +5,7 @@ from brute import first_pixel, regions, walk
 from pyspark.sql import functions as F
 
 from skyraster.operators.components import label, label_runs
-from skyraster.operators.cook import cook, cook_with_vertices, dedup_obs, number_objects
+from skyraster.operators.cook import cook, cook_with_vertices, dedup_obs, number_objects, object_stats
 from skyraster.operators.outline import outline, region_boxes, short_outlines
 from skyraster.session import materialize
 
@@ -130,6 +130,22 @@ def test_vertices_without_limit(pixels, images, expected):
     assert vertices.count() == sum(len(walk(r)) for r in expected.values())
 
 
+@pytest.mark.parametrize("hot_pixels", [30, 4_000_000])
+def test_statistics(labelled, expected, hot_pixels):
+    def value(x, y):
+        return 100 + (x * 7 + y * 3) % 50
+
+    found = {(r.imageid, r.label >> 32, r.label & 0xFFFFFFFF): r for r in object_stats(labelled, hot_pixels).collect()}
+    assert set(found) == set(expected)
+    for key, region in expected.items():
+        total = sum(value(*p) for p in region)
+        cx, cy = (sum(value(*p) * p[i] for p in region) / total for i in (0, 1))
+        spread = sum(value(x, y) * ((x - cx) ** 2 + (y - cy) ** 2) ** 0.5 for x, y in region) / total
+        row = found[key]
+        assert (row.n, row.pixelSum, row.centerx, row.centery) == (len(region), total, int(cx), int(cy))
+        assert row.averageDist == pytest.approx(spread, abs=1e-9)
+
+
 def test_dedup_keeps_first_of_many_copies(spark):
     rows = spark.range(20000).select((F.col("id") % 3 * 0 + 1).alias("obsid"), (20000 - F.col("id")).alias("line"))
     assert [tuple(r) for r in dedup_obs(rows, ["line"]).collect()] == [(1, 1)]
