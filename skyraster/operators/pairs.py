@@ -111,8 +111,8 @@ def similar_pairs(
 ) -> DataFrame:
     """Pairs of any two times with close position, size and brightness.
 
-    The radius is d2 * (t_new/t - t_old/t).  ``batch`` compares whole-number distance and radius;
-    ``radius`` compares the exact distance with the exact radius.  Besides the two space cells the
+    The radius is d2 * (t_new/t - t_old/t), truncated to a whole number.  ``batch`` compares it with
+    the truncated distance, ``radius`` with the exact distance.  Besides the two space cells the
     key holds a brightness bucket, the most selective of the three limits.  ``new`` limits the
     later side (default: all of ``obs``).  ``max_step`` is the longest time span present; it sizes
     the cells and is read from the data when it is not given.
@@ -133,13 +133,13 @@ def similar_pairs(
         GridDim(F.col("n_pixelSum") - d_sum, F.col("n_pixelSum") + d_sum, F.col("e_pixelSum"), 2 * d_sum + 1),
     ]
     scale = F.lit(float(t))
-    radius = F.lit(float(d2)) * (F.col("n_time") / scale - F.col("e_time") / scale)
+    radius = (F.lit(float(d2)) * (F.col("n_time") / scale - F.col("e_time") / scale)).cast("int")
     if mode == "batch":
         dx = F.col("n_centerx").cast("long") - F.col("e_centerx")
         dy = F.col("n_centery").cast("long") - F.col("e_centery")
-        close = int_distance(dx, dy) <= radius.cast("int")
+        close = int_distance(dx, dy) <= radius
     else:
-        close = _squared_distance().cast("double") <= radius * radius
+        close = _squared_distance() <= long_square(radius)
     near = (
         (F.col("e_time") < F.col("n_time"))
         & close

@@ -441,7 +441,8 @@ def oracle_sql() -> dict[str, str]:
                      + (n.centery - e.centery)::BIGINT * (n.centery - e.centery))) <= n.time - e.time""")),
         "similar_pairs_radius": s("obs", SIMILAR.format(near="""
             (n.centerx - e.centerx)::BIGINT * (n.centerx - e.centerx)
-          + (n.centery - e.centery)::BIGINT * (n.centery - e.centery) <= (n.time - e.time) * (n.time - e.time)""")),
+          + (n.centery - e.centery)::BIGINT * (n.centery - e.centery) 
+          <= power(trunc(3 * (n.time::DOUBLE / 4 - e.time::DOUBLE / 4)), 2)""")),
         "q8": s("cooked_members cooked_summary found images px", cutout_sql(COOKED_SELECTION, SLAB, CUT)),
         "q9": s("cooked_members cooked_steps found images px", cutout_sql(COOKED_AT_2, SLAB, CUT)),
         "cutout_tiles": s("found images", """

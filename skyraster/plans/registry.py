@@ -429,7 +429,7 @@ def similar_pairs(sky: SkyTables) -> DataFrame:
 
 @query
 def similar_pairs_radius(sky: SkyTables) -> DataFrame:
-    return pairs.similar_pairs(sky.stored_obs, t=1, d2=1, d_radius=2, d_sum=1000, mode="radius")
+    return pairs.similar_pairs(sky.stored_obs, t=4, d2=3, d_radius=2, d_sum=1000, mode="radius")
 
 
 @query

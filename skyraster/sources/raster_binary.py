@@ -22,6 +22,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.tiles import TILE_RATIO, TILE_SIZE, tile_of
 from ..schema import PIXEL_ATTRS
+from ..session import qualified
 
 FORMAT = "raster_binary"
 FILE_NAME = re.compile(r"bench_(\d+)(?:_y(\d+))?(?:_(" + "|".join(PIXEL_ATTRS) + r"))?$")
@@ -30,7 +31,9 @@ BATCH_RECORDS = 65_536
 
 
 def _filesystem(path: str) -> tuple[fs.FileSystem, str]:
-    if "://" in path or path.startswith("file:"):
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    if "://" in path:
         return fs.FileSystem.from_uri(path)
     return fs.LocalFileSystem(), path
 
@@ -148,7 +151,7 @@ def scan_raster_binary(
         .option("layout", layout)
         .option("attrs", ",".join(attrs))
         .option("slicebytes", slice_bytes)
-        .load(path)
+        .load(qualified(spark, path))
     )
     return rows.select(
         "imageid", tile_of(F.col("x"), F.col("y"), tile_size, ratio).alias("tile"), "x", "y", *attrs
@@ -161,6 +164,7 @@ def write_raster_binary(pixels: DataFrame, path: str, width: int, layout: str =
     A group is one band, so no task holds a whole image.  Pixels that are absent are written as 0.
     Files are moved into place when complete, so a repeated task leaves one whole file.
     """
+    path = qualified(pixels.sparkSession, path)
 
     def write_band(key: tuple, band: pd.DataFrame) -> pd.DataFrame:
         imageid, number = int(key[0]), int(key[1])

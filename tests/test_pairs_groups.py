@@ -9,7 +9,7 @@ from skyraster.operators.cook import obs_vertices
 from skyraster.operators.gridjoin import GridDim, grid_join
 from skyraster.operators.groups import accumulate, center_traj, group_members, polygon_traj
 from skyraster.operators.obs_queries import q6_neighbours
-from skyraster.operators.pairs import motion_pairs
+from skyraster.operators.pairs import motion_pairs, similar_pairs
 from skyraster.session import materialize
 from skyraster.sources import observation_text
 
@@ -49,6 +49,24 @@ def test_motion_pairs(obs, crowd, d2, t, hot_rows):
     assert set(rows) == near_pairs(crowd, d2, t)
 
 
+@pytest.mark.parametrize("hot_rows", [None, 5])
+@pytest.mark.parametrize("mode", ["batch", "radius"])
+def test_similar_pairs(spark, crowd, mode, hot_rows):
+    rows = [(*r, (r[0] * 37) % 60, (r[0] % 90) / 10) for r in crowd[:500]]
+    frame = spark.createDataFrame(rows, OBS + ", pixelSum long, averageDist double")
+    expected = set()
+    for n in rows:
+        for e in rows:
+            radius = int(7 * (n[1] / 2.5 - e[1] / 2.5))
+            distance = ((n[3] - e[3]) ** 2 + (n[4] - e[4]) ** 2) ** 0.5
+            close = (int(distance) if mode == "batch" else distance) <= radius
+            if e[1] < n[1] and close and abs(n[6] - e[6]) <= 3 and abs(n[5] - e[5]) <= 8:
+                expected.add((n[0], e[0]))
+    assert expected
+    found = similar_pairs(frame, t=2.5, d2=7, d_radius=3, d_sum=8, mode=mode, hot_rows=hot_rows)
+    assert sorted((r.new_obsid, r.existing_obsid) for r in found.collect()) == sorted(expected)
+
+
 def test_grid_join_with_equal_key_and_slices(spark):
     left = spark.createDataFrame([(i, i % 2, i) for i in range(60)], "a int, k int, v int")
     right = spark.createDataFrame([(i, i % 2, i % 20) for i in range(60)], "b int, j int, w int")

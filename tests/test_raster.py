@@ -126,6 +126,13 @@ def test_stored_raster_prunes(spark, pixels, images, tmp_path):
     assert "ReadSchema: struct<tile:int,pix:int>" in plan
 
 
+def test_images_are_placed_round_robin(pixels):
+    placed = layout.place_images(pixels, 3).withColumn("part", F.spark_partition_id())
+    rows = placed.select("imageid", "node", "part").distinct().collect()
+    assert all(r.node == r.imageid % 3 for r in rows)
+    assert len({r.imageid for r in rows}) == len(rows)
+
+
 def test_cutouts_against_plain_python(spark, images):
     catalog = images.filter("imageid < 2")
     frames = {r.imageid: r for r in catalog.collect()}

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from skyraster.operators.components import label, label_runs
 from skyraster.operators.cook import cook, cook_with_vertices, dedup_obs, number_objects, object_stats
+from skyraster.operators.merge import merge_pieces
 from skyraster.operators.outline import outline, region_boxes, short_outlines
 from skyraster.session import materialize
 
@@ -146,6 +147,22 @@ def test_statistics(labelled, expected, hot_pixels):
         assert row.averageDist == pytest.approx(spread, abs=1e-9)
 
 
+def test_pieces_with_id_blocks_merge_to_the_whole(pixels, images):
+    """Images cooked by two nodes, each with its own block of ids, one image cooked twice."""
+    whole = cook(pixels, images, 100)
+    low = cook(pixels.filter("imageid < 4"), images, 100)
+    first = low.count() + 1
+    high = cook(pixels.filter("imageid >= 4"), images, 100, start_id=first)
+    again = cook(pixels.filter("imageid < 2"), images, 100)
+    merged = merge_pieces([low, high, again], ["obsid"])
+    columns = [c for c in whole.columns if c != "averageDist"]
+
+    def rows(frame):
+        return sorted(str(r) for r in frame.select(*columns).collect())
+
+    assert rows(merged) == rows(whole)
+
+
 def test_dedup_keeps_first_of_many_copies(spark):
     rows = spark.range(20000).select((F.col("id") % 3 * 0 + 1).alias("obsid"), (20000 - F.col("id")).alias("line"))
     assert [tuple(r) for r in dedup_obs(rows, ["line"]).collect()] == [(1, 1)]
