@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -88,26 +88,36 @@ def _window_sums(half: int, side: int):
     """Box sums of one square tile of ``side`` coordinates with a halo of ``half`` around it.
 
     Points of a tile are distinct coordinates with a weight, so the group is bounded by the tile
-    area however crowded the sky is; a summed-area table answers every point in constant time.
+    area however crowded the sky is.  A crowded tile is answered from a summed-area table in
+    constant time per point; a tile with few points compares them directly, which is less work
+    than filling the table.
     """
+    span = side + 2 * half
 
-    def sums(key: tuple, points: pd.DataFrame) -> pd.DataFrame:
-        x = points["px"].to_numpy() - key[0] * side + half
-        y = points["py"].to_numpy() - key[1] * side + half
-        span = side + 2 * half
-        table = np.zeros((span + 1, span + 1), dtype=np.int64)
-        table[y + 1, x + 1] = points["weight"].to_numpy()
-        np.cumsum(table, axis=0, out=table)
-        np.cumsum(table, axis=1, out=table)
+    def sums(key: tuple, points: pa.Table) -> pa.Table:
+        px, py = points.column("px").to_numpy(), points.column("py").to_numpy()
+        weight = points.column("weight").to_numpy()
+        x = px - key[0].as_py() * side + half
+        y = py - key[1].as_py() * side + half
         own = (x >= half) & (x < half + side) & (y >= half) & (y < half + side)
         ox, oy = x[own], y[own]
-        counts = (
-            table[oy + half + 1, ox + half + 1]
-            - table[oy - half, ox + half + 1]
-            - table[oy + half + 1, ox - half]
-            + table[oy - half, ox - half]
+        if len(ox) * len(x) <= span * span:
+            near = (np.abs(ox[:, None] - x) <= half) & (np.abs(oy[:, None] - y) <= half)
+            counts = near @ weight
+        else:
+            table = np.zeros((span + 1, span + 1), dtype=np.int64)
+            table[y + 1, x + 1] = weight
+            np.cumsum(table, axis=0, out=table)
+            np.cumsum(table, axis=1, out=table)
+            counts = (
+                table[oy + half + 1, ox + half + 1]
+                - table[oy - half, ox + half + 1]
+                - table[oy + half + 1, ox - half]
+                + table[oy - half, ox - half]
+            )
+        return pa.table(
+            {"px": pa.array(px[own], pa.int32()), "py": pa.array(py[own], pa.int32()), "n": pa.array(counts, pa.int64())}
         )
-        return pd.DataFrame({"px": points["px"].to_numpy()[own], "py": points["py"].to_numpy()[own], "n": counts})
 
     return sums
 
@@ -127,7 +137,7 @@ def q6_neighbours(obs: DataFrame, cycle: int, box: int, threshold: int, rect: Re
         F.count(F.lit(1)).alias("weight")
     )
     if box <= MAX_TILE_BOX:
-        side = max(512, 2 * half)
+        side = max(1024, 2 * half)
         halo = (
             points.withColumn(
                 "tx", F.explode(F.sequence(cell_of(F.col("px") - half, side), cell_of(F.col("px") + half, side)))
@@ -135,7 +145,7 @@ def q6_neighbours(obs: DataFrame, cycle: int, box: int, threshold: int, rect: Re
                 "ty", F.explode(F.sequence(cell_of(F.col("py") - half, side), cell_of(F.col("py") + half, side)))
             )
         )
-        counts = halo.groupBy("tx", "ty").applyInPandas(_window_sums(half, side), "px int, py int, n long")
+        counts = halo.groupBy("tx", "ty").applyInArrow(_window_sums(half, side), "px int, py int, n long")
     else:
         other = points.select(F.col("px").alias("qx"), F.col("py").alias("qy"), F.col("weight").alias("qweight"))
         dims = [

@@ -195,8 +195,11 @@ def _wide_outlines(labelled: DataFrame, boxes: DataFrame) -> DataFrame:
     links = stepped.select(
         *key, "at", state(F.col("x"), F.col("y"), _turn(F.col("mask"), F.col("_k"))).alias("to")
     )
-    # The walk ends in front of its start, which turns the ring into a list.
+    # A state that no move leads to is not part of a walk, the start aside.
     ends = starts.select(*key, state(F.col("x"), F.col("y"), F.col("k")).alias("to"))
+    entered = links.select(*key, "to").unionByName(ends).distinct().withColumnRenamed("to", "at")
+    links = links.join(entered, [*key, "at"], "left_semi")
+    # The walk ends in front of its start, which turns the ring into a list.
     links = links.join(ends, [*key, "to"], "left_anti")
     limits = boxes.select(*key, (F.col("n") * 2 + 3).alias("limit"))
     placed = starts.join(limits, key).select(
