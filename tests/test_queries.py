@@ -2,8 +2,10 @@
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
 from check_queries import compare, connect
+from skyraster.plans.oracles import oracle_sql
+from skyraster.plans.registry import queries
 
 FOLDER = "/root/testdata/sf0.001"
 
