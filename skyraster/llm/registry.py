@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality, secrets, simhash
+from . import chat, licenses, mixing, packing, quality, secrets, sharding, simhash, topk, toxicity
 from .common import read_table
 
 
@@ -39,7 +39,38 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.component_digest(read_table(spark, sf_dir, "documents"))
 
 
-_QUERIES = [op1_secrets, op2_mixing, op3_packing, op4_quality, op5_simhash]
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.topk_digest(read_table(spark, sf_dir, "embeddings"))
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_digest(read_table(spark, sf_dir, "documents"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_digest(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(read_table(spark, sf_dir, "documents"))
+
+
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.chat_digest(read_table(spark, sf_dir, "conversations"))
+
+
+_QUERIES = [
+    op1_secrets,
+    op2_mixing,
+    op3_packing,
+    op4_quality,
+    op5_simhash,
+    op6_topk,
+    op7_sharding,
+    op8_toxicity,
+    op9_licenses,
+    op10_chat,
+]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
