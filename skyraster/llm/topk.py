@@ -55,7 +55,7 @@ def _exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     if _magnitude(q, x) < 1 << 62:
         return np.einsum("ij,ij->i", q, x)
     sums = (sum(map(int.__mul__, a, b)) for a, b in zip(q.tolist(), x.tolist(), strict=True))
-    return np.array([min(max(s, -(1 << 63)), (1 << 63) - 1) for s in sums], dtype=np.int64)
+    return np.array([min(max(s, 1 - (1 << 63)), (1 << 63) - 1) for s in sums], dtype=np.int64)
 
 
 def best_of(
