@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from ..session import materialize, materialize_counted
 
-MAX_ROUNDS = 100
 #: Image rows labelled together.
 BAND_ROWS = 128
 #: Columns per join key when runs of neighbouring rows are matched.
@@ -151,12 +150,11 @@ def contract(edges: DataFrame) -> DataFrame:
     current, seen = materialize_counted(edges, "cc-edges", fingerprint())
     if seen["rows"] == 0:
         return current.select("imageid", F.col("u").alias("root"), F.col("v").alias("node"))
-    for _ in range(MAX_ROUNDS):
+    while True:
         step, now = materialize_counted(_small_star(_large_star(current)), "cc-round", fingerprint())
         if (now["rows"], now["digest"]) == (seen["rows"], seen["digest"]):
             return step.select("imageid", F.col("u").alias("root"), F.col("v").alias("node"))
         current, seen = step, now
-    raise RuntimeError("components did not converge")
 
 
 def label_runs(pixels: DataFrame, threshold: int, band_rows: int = BAND_ROWS) -> DataFrame:

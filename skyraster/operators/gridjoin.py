@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from ..functions.tiles import cell_of
 from ..session import materialize_counted
 
-#: A cell with more rows than this on either side is sliced over several tasks.
-HOT_ROWS = 200_000
+#: A cell in which more pairs than the square of this meet is cut into slices of so many rows a side.
+HOT_ROWS = 20_000
 #: The table of hot cells is broadcast up to this many rows (about 50 bytes each).
 BROADCAST_HOT_ROWS = 200_000
 
@@ -82,9 +82,7 @@ def _slice_hot(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]], h
     hot = (
         tagged.groupBy(*names)
         .agg(F.sum("_l").alias("_nl"), F.sum("_r").alias("_nr"))
-        .filter(
-            ((F.col("_nl") > hot_rows) | (F.col("_nr") > hot_rows)) & (F.col("_nl") > 0) & (F.col("_nr") > 0)
-        )
+        .filter(F.col("_nl").cast("double") * F.col("_nr") > float(hot_rows) ** 2)
         .select(*names, _slices(F.col("_nl"), hot_rows).alias("_sl"), _slices(F.col("_nr"), hot_rows).alias("_sr"))
     )
     hot, seen = materialize_counted(hot, "hot-cells")

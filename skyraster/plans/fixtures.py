@@ -20,6 +20,7 @@ from ..operators.pairs import motion_pairs
 from ..schema import PIXELS
 from ..session import materialize
 from ..sources.generator import rescaled
+from ..sources.raster_text import image_name
 
 TILE_SIZE = 10
 ROWS = 100
@@ -92,7 +93,7 @@ class SkyTables:
             (i * 23 + ROWS).alias("yend"),
             i.alias("time"),
             idiv(i, 2).cast("int").alias("cycle"),
-            F.concat(F.lit("bench_"), F.lpad(i.cast("string"), 4, "0")).alias("tablename"),
+            image_name(i).alias("tablename"),
         )
 
     @property

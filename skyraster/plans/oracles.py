@@ -48,7 +48,7 @@ FROM (SELECT (vec_id // 100)::INTEGER AS imageid, (vec_id % 100)::INTEGER AS y,
 cte("images", "", """
 SELECT imageid, imageid * 37 AS xstart, imageid * 23 AS ystart, imageid * 37 + 64 AS xend,
        imageid * 23 + 100 AS yend, imageid AS time, (imageid // 2)::INTEGER AS cycle,
-       'bench_' || lpad(imageid::VARCHAR, 4, '0') AS tablename
+       'bench_' || CASE WHEN imageid < 10000 THEN lpad(imageid::VARCHAR, 4, '0') ELSE imageid::VARCHAR END AS tablename
 FROM (SELECT DISTINCT (vec_id // 100)::INTEGER AS imageid FROM embeddings)""")
 
 cte("obs", "", """

@@ -134,7 +134,7 @@ def write_raster(sky: SkyTables) -> DataFrame:
 
 @query
 def obs_wkt(sky: SkyTables) -> DataFrame:
-    return observation_text.obs_lines(sky.obs)
+    return observation_text.obs_lines(sky.obs, digits=6)
 
 
 @query

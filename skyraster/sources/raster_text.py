@@ -11,7 +11,8 @@ IMAGE_NAME = r"bench_(\d+)"
 
 
 def image_name(imageid: Column) -> Column:
-    return F.concat(F.lit("bench_"), F.lpad(imageid.cast("string"), 4, "0"))
+    """Numbers are padded to four digits; longer ones are written in full."""
+    return F.format_string("bench_%04d", imageid)
 
 
 def scan_raster_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -28,7 +29,7 @@ def write_raster_csv(pixels: DataFrame, path: str) -> None:
     columns = RASTER_TEXT.fieldNames()
     (
         pixels.withColumn("tablename", image_name(F.col("imageid")))
-        .select(F.concat_ws(",", *[F.col(c).cast("string") for c in columns]).alias("value"), "tablename")
+        .select(F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]).alias("value"), "tablename")
         .write.mode("errorifexists")
         .partitionBy("tablename")
         .text(path)

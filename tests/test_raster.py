@@ -156,3 +156,34 @@ def test_cutouts_against_plain_python(spark, images):
     assert rows_of(filled) == sorted(expected)
     present = cutouts(obs.select("obsid"), obs, catalog, raster, 6, fill=False, tile_size=10, cell=50)
     assert rows_of(present) == sorted(known)
+
+
+def test_text_raster_keeps_long_ids_and_nulls(spark, tmp_path):
+    """Image numbers of five digits are not cut, and a NULL does not shift the columns after it."""
+    from skyraster.schema import PIXELS
+    from skyraster.sources.raster_text import scan_raster_csv, write_raster_csv
+
+    width = len(PIXELS.fieldNames()) - 1
+    rows = [(i, *range(width)) for i in (7, 9999, 10000, 12340, 12345)]
+    rows += [(12345, *[None if k == 3 else k + 1 for k in range(width)])]
+    pixels = spark.createDataFrame(rows, PIXELS)
+    write_raster_csv(pixels, str(tmp_path / "raster"))
+    read = scan_raster_csv(spark, str(tmp_path / "raster"))
+    assert sorted(map(str, read.collect())) == sorted(map(str, pixels.collect()))
+
+
+def test_observation_file_keeps_full_doubles_and_nulls(spark, tmp_path):
+    from skyraster.schema import OBSERVATIONS
+    from skyraster.sources.observation_text import read_obs, write_obs
+
+    scalars = [f for f in OBSERVATIONS.fields if f.name != "polygon"]
+    names = [f.name for f in scalars]
+
+    def row(distance, pixel_sum):
+        values = {name: k for k, name in enumerate(names)}
+        values |= {"averageDist": distance, "pixelSum": pixel_sum, "polygon": [(1, 2), (3, 4), (5, 6)]}
+        return tuple(values[name] for name in OBSERVATIONS.fieldNames())
+
+    obs = spark.createDataFrame([row(1 / 3, 5), row(None, None)], OBSERVATIONS)
+    write_obs(obs, str(tmp_path / "obs"))
+    assert sorted(map(str, read_obs(spark, str(tmp_path / "obs")).collect())) == sorted(map(str, obs.collect()))
