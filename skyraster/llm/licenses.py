@@ -105,28 +105,44 @@ class Index:
         for size, own in members.items():
             names, least = [n for n, _ in own], np.stack([m for _, m in own], axis=1)
             order = np.argsort(least, axis=1, kind="stable")
-            self.classes[size] = [names, np.take_along_axis(least, order, axis=1), order]
+            self.classes[size] = [names, least, np.take_along_axis(least, order, axis=1), order]
 
     def candidates(self, hashes: np.ndarray) -> set[tuple[str, int, int]]:
         """(template, first, last shingle position) of windows that meet a template in a band."""
         found = set()
-        for size, (names, least, order) in self.classes.items():
-            half = size // 2
-            for at in range(0, len(hashes), 64 * size):  # a bounded stretch, with the window that leaves it
-                part = hashes[at : at + 65 * size]
-                block = np.minimum.reduceat(self.a * part + self.b, np.arange(0, len(part), half), axis=1)
+        sizes = sorted(self.classes)
+        stretch = 64 * max(sizes, default=8)
+        for at in range(0, len(hashes), stretch):  # a bounded stretch, with the windows that leave it
+            part = hashes[at : at + stretch + stretch // 64]
+            half, block = 1, self.a * part + self.b
+            for size in sizes:
+                while half < size // 2:  # blocks of the next class are pairs of these
+                    if block.shape[1] % 2:
+                        block = np.concatenate([block, block[:, -1:]], axis=1)
+                    half, block = 2 * half, np.minimum(block[:, 0::2], block[:, 1::2])
                 low = block.copy()
                 low[:, :-1] = np.minimum(low[:, :-1], block[:, 1:])
                 low[:, :-2] = np.minimum(low[:, :-2], block[:, 2:])
-                for band in range(self.bands):
-                    place = np.minimum(np.searchsorted(least[band], low[band]), len(names) - 1)
-                    for window in np.flatnonzero(least[band][place] == low[band]):
-                        n, first = place[window], at + int(window) * half
-                        while n < len(names) and least[band][n] == low[band][window]:
-                            found.add((names[order[band][n]], first, first + 3 * half))
-                            n += 1
+                for name, window in self._met(size, low):
+                    found.add((name, at + window * half, at + (window + 3) * half))
         return found
 
+    def _met(self, size: int, low: np.ndarray) -> Iterator[tuple[str, int]]:
+        """(template, window) of windows whose least hash equals a template's in some band."""
+        names, plain, least, order = self.classes[size]
+        if len(names) <= 8:  # few templates: compare with each
+            for n, name in enumerate(names):
+                for window in np.flatnonzero((low == plain[:, n, None]).any(axis=0)):
+                    yield name, int(window)
+            return
+        for band in range(self.bands):
+            place = np.minimum(np.searchsorted(least[band], low[band]), len(names) - 1)
+            for window in np.flatnonzero(least[band][place] == low[band]):
+                n = place[window]
+                while n < len(names) and least[band][n] == low[band][window]:
+                    yield names[order[band][n]], int(window)
+                    n += 1
+
     def matches(self, text: str, known: dict[str, int]) -> list[tuple[str, float, int, int]]:
         words = WORD.findall(text.lower())
         if not words:

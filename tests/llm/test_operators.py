@@ -403,6 +403,15 @@ def test_licenses(spark, docs, none, table):
     assert licenses.scan_licenses(none).count() == 0
 
 
+def test_many_templates():
+    """Sorted tables of many templates find what comparing with each finds."""
+    rng = np.random.default_rng(9)
+    names = {f"n{k}": " ".join(f"w{v}" for v in rng.integers(0, 40, 12)) for k in range(30)}
+    index = licenses.Index(names)
+    text = " ".join(f"z{v}" for v in range(500)) + " " + names["n7"] + " tail " + names["n21"]
+    assert [m[:2] for m in index.matches(text, {})] == [("n21", 1.0), ("n7", 1.0)]
+
+
 # Chat ------------------------------------------------------------------------------------------------------
 
 TURNS = "conv_id long, turn long, role string, text string, node int, tree int"
