@@ -1,12 +1,12 @@
 """License scan: MinHash bands over overlapping text windows, verified by shingle containment.
 
-Words are lower-cased runs of letters and digits.  Templates are sorted into length classes (powers
-of two of words); for a class of n words, windows hold three half-classes of shingle positions and
-advance by one half-class, so any n words lie inside some window.  Each of ``bands`` hash functions gives a window
-its least shingle hash; a band of one row meets a template's with probability J, the Jaccard similarity.
-A window that holds 4 in 5 of a template's shingles has J of 0.3 or more for the shortest template, and
-is missed by all bands with probability (1 - J)^bands, below 2e-4 for 24.  A band cannot be met without a
-shared shingle of five words, so candidates are few.
+Words are lower-cased runs of letters and digits.  Templates are sorted into classes by their number
+of shingles: for a class h = 1, 2, 4, ... of up to 2 h + 1 shingles, windows hold 3 h shingle positions and
+advance by h, so an occurrence of a template lies inside some window.  Each of ``bands`` hash functions
+gives a window its least shingle hash; a band of one row meets a template's with probability J, the
+Jaccard similarity.  A window that holds 4 in 5 of a template's shingles has J of 1/4 or more in every
+class, so all bands miss it with probability (3/4)^bands at most, 1e-4 for 32.  A band cannot be met
+without a shared shingle of five words, so candidates are few.
 
 Candidates are verified by their shingles as words, not hashes: the share of the template's distinct
 shingles that lie in the window must be 0.8 or more.  Of every (document, template) the best window is
@@ -84,7 +84,7 @@ class Index:
     """MinHash tables of the templates, by length class."""
 
     templates: Mapping[str, str]
-    bands: int = 24
+    bands: int = 32
     containment: float = 0.8
     shingles: dict[str, set] = field(default_factory=dict)
     classes: dict[int, list] = field(default_factory=dict)
@@ -98,25 +98,28 @@ class Index:
             if not words:
                 continue
             self.shingles[name] = set(_shingles(words))
-            size = 8
-            while size < len(words):
-                size *= 2
-            members.setdefault(size, []).append((name, (self.a * _shingle_hashes(words, known) + self.b).min(axis=1)))
-        for size, own in members.items():
+            half = 1
+            while 2 * half + 1 < len(words) - SHINGLE + 1:
+                half *= 2
+            members.setdefault(half, []).append((name, (self.a * _shingle_hashes(words, known) + self.b).min(axis=1)))
+        for half, own in members.items():
             names, least = [n for n, _ in own], np.stack([m for _, m in own], axis=1)
             order = np.argsort(least, axis=1, kind="stable")
-            self.classes[size] = [names, least, np.take_along_axis(least, order, axis=1), order]
+            self.classes[half] = [names, least, np.take_along_axis(least, order, axis=1), order]
 
     def candidates(self, hashes: np.ndarray) -> set[tuple[str, int, int]]:
         """(template, first, last shingle position) of windows that meet a template in a band."""
         found = set()
         sizes = sorted(self.classes)
-        stretch = 64 * max(sizes, default=8)
-        for at in range(0, len(hashes), stretch):  # a bounded stretch, with the windows that leave it
-            part = hashes[at : at + stretch + stretch // 64]
+        if not sizes:
+            return found
+        # A stretch ends with the windows that leave it; block borders are the same in all stretches.
+        stretch = max(128 * max(sizes), 2048)
+        for at in range(0, len(hashes), stretch):
+            part = hashes[at : at + stretch + 2 * max(sizes)]
             half, block = 1, self.a * part + self.b
             for size in sizes:
-                while half < size // 2:  # blocks of the next class are pairs of these
+                while half < size:  # blocks of the next class are pairs of these
                     if block.shape[1] % 2:
                         block = np.concatenate([block, block[:, -1:]], axis=1)
                     half, block = 2 * half, np.minimum(block[:, 0::2], block[:, 1::2])
@@ -163,7 +166,7 @@ class Index:
 
 
 def scan_licenses(
-    docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, bands: int = 24, containment: float = 0.8
+    docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, bands: int = 32, containment: float = 0.8
 ) -> DataFrame:
     """(doc_id, license, containment, window_start, window_end) of every template found in a text."""
     index = Index(templates, bands, containment)
