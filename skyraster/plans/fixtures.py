@@ -36,6 +36,8 @@ THRESHOLD = 14000
 LOW_THRESHOLD = 13500
 D2, T = 3, 3
 RASTER_D2, RASTER_T = 2, 2
+#: Ids kept for each piece of the raster that is cooked on its own.
+ID_BLOCK = 10_000_000
 START_DAY = "2024-01-01"
 
 
@@ -100,7 +102,7 @@ class SkyTables:
     def obs(self) -> DataFrame:
         """One observation per event, with the four corners of its box as outline."""
         e, u = F.col("event_id"), F.col("user_id")
-        half = (e % 5 + 1).cast("int")
+        half = (e % 5 * 40 + 1).cast("int")
         x = ((u * 7919) % 10000 + 500 + (e * 31) % 41 - 20).cast("int")
         y = ((u * 104729) % 10000 + 500 + (e * 17) % 43 - 21).cast("int")
         day = F.datediff(F.col("ts").cast("timestamp_ntz").cast("date"), F.lit(START_DAY).cast("date"))

@@ -60,7 +60,7 @@ FROM (SELECT event_id + 1 AS obsid,
              floor(value * 100)::BIGINT AS pixelSum,
              ((user_id * 7919) % 10000 + 500 + (event_id * 31) % 41 - 20)::INTEGER AS x,
              ((user_id * 104729) % 10000 + 500 + (event_id * 17) % 43 - 21)::INTEGER AS y,
-             (event_id % 5 + 1)::INTEGER AS h
+             (event_id % 5 * 40 + 1)::INTEGER AS h
       FROM events)""")
 
 cte("verts", "obs", """
@@ -318,6 +318,15 @@ SIMILAR = """
 SELECT n.obsid AS new_obsid, e.obsid AS existing_obsid, n.time AS new_time, e.time AS existing_time
 FROM obs n JOIN obs e ON e.time < n.time AND abs(n.pixelSum - e.pixelSum) <= 1000
  AND abs(n.averageDist - e.averageDist) <= 2 AND {near}"""
+cte("alike", "obs", SIMILAR.format(near="""
+    (n.centerx - e.centerx)::BIGINT * (n.centerx - e.centerx)
+  + (n.centery - e.centery)::BIGINT * (n.centery - e.centery)
+  <= power(trunc(3 * (n.time::DOUBLE / 4 - e.time::DOUBLE / 4)), 2)"""))
+cte("alike_members", "alike", group_body("alike_members", "alike"))
+COOKED = """
+SELECT {obsid}, """ + OBS.removeprefix("obsid, ").replace("averageDist", "round(averageDist, 6) AS averageDist") + """,
+       'POLYGON((' || array_to_string(list_transform(list_zip(list_append(xs, xs[1]), list_append(ys, ys[1])), lambda p: p[1] || ' ' || p[2]), ',') || '))' AS outline
+FROM {source}"""
 Q1 = "SELECT coalesce(sum({a}), 0)::BIGINT AS total, count({a}) AS n, sum({a})::DOUBLE / count({a}) AS average FROM px JOIN images USING (imageid) WHERE cycle = {c}"
 COOKED_SELECTION = """
 SELECT obsid FROM cooked_members JOIN cooked_summary USING (obsgroupid)
@@ -363,6 +372,11 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL
             SELECT concat_ws(';', obsgroupid, fromtime, totime, 'POLYGON((' || string_agg(x || ' ' || y, ',' ORDER BY ord) || '))')
             FROM step_polygons GROUP BY obsgroupid, fromtime, totime"""),
+        "group_files_roundtrip": s("members traj step_polygons", """
+            SELECT 'trajectory' AS kind, obsgroupid, -1::BIGINT AS obsid, -1 AS fromtime, -1 AS totime, ord, x, y
+            FROM traj
+            UNION ALL SELECT 'member', obsgroupid, obsid, -1, -1, -1, -1, -1 FROM members
+            UNION ALL SELECT 'step', obsgroupid, -1, fromtime, totime, ord, x, y FROM step_polygons"""),
         "load_ignore": s("obs", "SELECT obsid, 'old' AS origin, centerx FROM obs WHERE time < 20 UNION ALL SELECT obsid, 'new', centery FROM obs WHERE time >= 20"),
         "load_replace": s("obs", "SELECT obsid, 'old' AS origin, centerx FROM obs WHERE time < 10 UNION ALL SELECT obsid, 'new', centery FROM obs WHERE time >= 10"),
         "merge_pieces": s("obs", "SELECT obsid, (time % 4)::INTEGER AS piece, pixelSum FROM obs"),
@@ -407,6 +421,15 @@ def oracle_sql() -> dict[str, str]:
             SELECT a.obsid, a.centerx AS dx, a.centery AS dy, count(*) AS counts
             FROM obs a JOIN obs b ON b.cycle = a.cycle AND abs(a.centerx - b.centerx) <= 20 AND abs(a.centery - b.centery) <= 20
             WHERE a.cycle = 2 GROUP BY ALL HAVING count(*) >= 8"""),
+        "q6_neighbours_slab": s("obs", f"""
+            , chosen AS (SELECT * FROM obs WHERE cycle = 2 AND {CENTRE})
+            SELECT a.obsid, a.centerx AS dx, a.centery AS dy, count(*) AS counts
+            FROM chosen a JOIN chosen b ON abs(a.centerx - b.centerx) <= 20 AND abs(a.centery - b.centery) <= 20
+            GROUP BY ALL HAVING count(*) >= 8"""),
+        "q6_neighbours_wide": s("obs", """
+            SELECT a.obsid, a.centerx AS dx, a.centery AS dy, count(*) AS counts
+            FROM obs a JOIN obs b ON b.cycle = a.cycle AND abs(a.centerx - b.centerx) <= 1500 AND abs(a.centery - b.centery) <= 1500
+            WHERE a.cycle = 2 GROUP BY ALL HAVING count(*) >= 40"""),
         "q3_area": s("px images", regrid_sql("area")),
         "q3_compat": s("px images", regrid_sql("compat")),
         "q3_box": s("px images", regrid_sql("area", (7, 40, 13, 65))),
@@ -439,10 +462,7 @@ def oracle_sql() -> dict[str, str]:
         "similar_pairs": s("obs", SIMILAR.format(near="""
             trunc(sqrt((n.centerx - e.centerx)::BIGINT * (n.centerx - e.centerx)
                      + (n.centery - e.centery)::BIGINT * (n.centery - e.centery))) <= n.time - e.time""")),
-        "similar_pairs_radius": s("obs", SIMILAR.format(near="""
-            (n.centerx - e.centerx)::BIGINT * (n.centerx - e.centerx)
-          + (n.centery - e.centery)::BIGINT * (n.centery - e.centery) 
-          <= power(trunc(3 * (n.time::DOUBLE / 4 - e.time::DOUBLE / 4)), 2)""")),
+        "similar_pairs_radius": s("alike", "SELECT * FROM alike"),
         "q8": s("cooked_members cooked_summary found images px", cutout_sql(COOKED_SELECTION, SLAB, CUT)),
         "q9": s("cooked_members cooked_steps found images px", cutout_sql(COOKED_AT_2, SLAB, CUT)),
         "cutout_tiles": s("found images", """
@@ -460,15 +480,18 @@ def oracle_sql() -> dict[str, str]:
         "outline": s("walk_low", """
             SELECT imageid, (root // 100000)::INTEGER AS first_y, (root % 100000)::INTEGER AS first_x, ord::INTEGER AS ord, x, y FROM walk_low"""),
         "obs_ids": s("found", "SELECT obsid, imageid, (root // 100000)::INTEGER AS first_y, (root % 100000)::INTEGER AS first_x FROM found"),
-        "q2_cook": s("kept_low", f"""
-            SELECT {OBS.replace("averageDist", "round(averageDist, 6) AS averageDist")},
-                   'POLYGON((' || array_to_string(list_transform(list_zip(list_append(xs, xs[1]), list_append(ys, ys[1])), lambda p: p[1] || ' ' || p[2]), ',') || '))' AS outline
-            FROM kept_low"""),
+        "q2_cook": s("kept_low", COOKED.format(obsid="obsid", source="kept_low")),
+        "q2_image": s("kept_low", COOKED.format(
+            obsid="row_number() OVER (ORDER BY obsid) AS obsid", source="kept_low WHERE imageid = 3")),
+        "q2_pieces": s("kept_low", COOKED.format(
+            obsid="row_number() OVER (PARTITION BY imageid % 3 ORDER BY obsid) + (imageid % 3) * 10000000::BIGINT AS obsid",
+            source="kept_low")),
         "dedup_obs": s("obs", "SELECT obsid, time, centerx, 0 AS source FROM obs"),
         # groups
         "groups": s("members", "SELECT * FROM members"),
         "groups_singletons": s("members_all", "SELECT * FROM members_all"),
         "groups_incremental": s("members", "SELECT * FROM members"),
+        "groups_similar": s("alike_members", "SELECT * FROM alike_members"),
         "center_traj": s("traj", "SELECT * FROM traj"),
         "polygon_traj": s("step_polygons", "SELECT * FROM step_polygons"),
         "group_summary": s("summary", "SELECT * FROM summary"),

@@ -160,6 +160,24 @@ def group_wkt(sky: SkyTables) -> DataFrame:
     )
 
 
+@query
+def group_files_roundtrip(sky: SkyTables) -> DataFrame:
+    """Trajectories, memberships and step polygons, read back from their files; -1 where a kind has no such column."""
+    path, obs = scratch_path(sky.spark, "group-files"), sky.stored_obs
+    observation_text.write_groups(sky.stored_members, obs, cook.obs_vertices(obs), path, per_line=3)
+    columns = {"obsid": "long", "fromtime": "int", "totime": "int", "ord": "int", "x": "int", "y": "int"}
+
+    def rows(kind: str, found: DataFrame) -> DataFrame:
+        given = [(F.col(c) if c in found.columns else F.lit(-1)).cast(t).alias(c) for c, t in columns.items()]
+        return found.select(F.lit(kind).alias("kind"), "obsgroupid", *given)
+
+    return (
+        rows("trajectory", observation_text.read_trajectories(sky.spark, path))
+        .unionByName(rows("member", observation_text.read_members(sky.spark, path)))
+        .unionByName(rows("step", observation_text.read_steps(sky.spark, path)))
+    )
+
+
 def _versions(sky: SkyTables) -> tuple[DataFrame, DataFrame]:
     old = sky.obs.select("obsid", F.lit("old").alias("origin"), "centerx", "time")
     new = sky.obs.select("obsid", F.lit("new").alias("origin"), F.col("centery").alias("centerx"), "time")
@@ -342,6 +360,17 @@ def q6_neighbours(sky: SkyTables) -> DataFrame:
     return obs_queries.q6_neighbours(sky.obs, 2, 40, 8)
 
 
+@query
+def q6_neighbours_slab(sky: SkyTables) -> DataFrame:
+    return obs_queries.q6_neighbours(sky.obs, 2, 40, 8, SLAB)
+
+
+@query
+def q6_neighbours_wide(sky: SkyTables) -> DataFrame:
+    """A box beyond the side of a tile."""
+    return obs_queries.q6_neighbours(sky.obs, 2, 3001, 40)
+
+
 @query
 def q3_area(sky: SkyTables) -> DataFrame:
     return regrid.regrid(sky.pixels, sky.images, **LAYOUT)
@@ -483,12 +512,36 @@ def obs_ids(sky: SkyTables) -> DataFrame:
 
 @query
 def q2_cook(sky: SkyTables) -> DataFrame:
-    found = cook.cook(sky.pixels, sky.images, fx.LOW_THRESHOLD, band_rows=fx.BAND_ROWS)
+    return _cooked_rows(cook.cook(sky.pixels, sky.images, fx.LOW_THRESHOLD, band_rows=fx.BAND_ROWS))
+
+
+def _cooked_rows(found: DataFrame) -> DataFrame:
     return found.withColumns(
         {"outline": polygon_wkt(F.col("polygon")), "averageDist": F.round("averageDist", 6)}
     ).select(*OBS_SCALARS.fieldNames(), "outline")
 
 
+@query
+def q2_image(sky: SkyTables) -> DataFrame:
+    return _cooked_rows(cook.cook(sky.pixels, sky.images, fx.LOW_THRESHOLD, imageid=3, band_rows=fx.BAND_ROWS))
+
+
+@query
+def q2_pieces(sky: SkyTables) -> DataFrame:
+    """Images dealt to three pieces; each numbers its observations in a block of ids of its own."""
+    found = [
+        cook.cook(
+            generator.piece(sky.pixels, 3, i, 0, round_robin=True, column="imageid"),
+            sky.images,
+            fx.LOW_THRESHOLD,
+            start_id=i * fx.ID_BLOCK + 1,
+            band_rows=fx.BAND_ROWS,
+        )
+        for i in range(3)
+    ]
+    return _cooked_rows(merge.merge_pieces(found, ["obsid"]))
+
+
 @query
 def dedup_obs(sky: SkyTables) -> DataFrame:
     """Every observation three times, with different content; the first source wins."""
@@ -523,6 +576,12 @@ def groups_incremental(sky: SkyTables) -> DataFrame:
     return groups.accumulate(sky.stored_pairs.filter(~earlier), members=first)
 
 
+@query
+def groups_similar(sky: SkyTables) -> DataFrame:
+    """Groups from similarity pairs of any two times."""
+    return groups.accumulate(pairs.similar_pairs(sky.stored_obs, t=4, d2=3, d_radius=2, d_sum=1000, mode="radius"))
+
+
 @query
 def center_traj(sky: SkyTables) -> DataFrame:
     return groups.center_traj(sky.stored_members, sky.stored_obs)
@@ -551,24 +610,32 @@ def time_index(sky: SkyTables) -> DataFrame:
 # Incremental -----------------------------------------------------------------------------------------------
 
 
-def _cycle_files(sky: SkyTables) -> str:
-    """The observations as one file per cycle, in the order of the cycles."""
+def _cycle_by_cycle(sky: SkyTables, run: Callable[[str], DataFrame]) -> DataFrame:
+    """Each cycle's observations arrive in a folder, written by as many tasks as they have, and the
+    stream goes on from where it was."""
     path = scratch_path(sky.spark, "cycle-files")
     obs = sky.stored_obs.select(*cycles.OBS_STATE.fieldNames(), "cycle")
+    found = None
     for (cycle,) in obs.select("cycle").distinct().orderBy("cycle").collect():
-        obs.filter(F.col("cycle") == cycle).drop("cycle").coalesce(1).write.mode("append").parquet(path)
-    return path
+        obs.filter(F.col("cycle") == cycle).drop("cycle").write.mode("append").parquet(path)
+        found = run(path)
+    return found if found is not None else run(path)
 
 
 @query
 def stream_groups(sky: SkyTables) -> DataFrame:
     state = scratch_path(sky.spark, "stream-groups")
-    return cycles.stream_groups(sky.spark, _cycle_files(sky), cycles.OBS_STATE, state, fx.D2, fx.T)
+    return _cycle_by_cycle(
+        sky, lambda path: cycles.stream_groups(sky.spark, path, cycles.OBS_STATE, state, fx.D2, fx.T, files_per_batch=None)
+    )
 
 
 @query
 def stream_pairs(sky: SkyTables) -> DataFrame:
     state = scratch_path(sky.spark, "stream-pairs")
-    return pair_stream.stream_pairs(
-        sky.spark, _cycle_files(sky), cycles.OBS_STATE, state, fx.D2, fx.T, partitions=4
+    return _cycle_by_cycle(
+        sky,
+        lambda path: pair_stream.stream_pairs(
+            sky.spark, path, cycles.OBS_STATE, state, fx.D2, fx.T, files_per_batch=None, partitions=4
+        ),
     )

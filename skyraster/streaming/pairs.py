@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -65,10 +67,14 @@ def stream_pairs(
     path: str,
     d2: float,
     t: int,
-    files_per_batch: int = 1,
+    files_per_batch: int | None = 1,
     partitions: int | None = None,
 ) -> DataFrame:
-    """Run all available files of ``source`` through the join and return the pairs written.
+    """Run all new files of ``source`` through the join and return the pairs written so far.
+
+    Observations that arrive more than the watermark's delay behind the newest one find no partners
+    any more: that bounds the state.  Their number is counted and warned of.  A batch takes
+    ``files_per_batch`` files, or all that are new with ``None``.
 
     The number of state partitions is fixed for the life of a stream; ``partitions`` sets it for
     this stream only (default: the session's shuffle partitions).
@@ -79,7 +85,10 @@ def stream_pairs(
     )
 
     def stream() -> DataFrame:
-        return session.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
+        reader = session.readStream.schema(schema)
+        if files_per_batch:
+            reader = reader.option("maxFilesPerTrigger", files_per_batch)
+        return reader.parquet(source)
 
     pairs = motion_pair_stream(stream(), stream(), d2, t)
     query = (
@@ -91,4 +100,7 @@ def stream_pairs(
         .start()
     )
     query.awaitTermination()
+    late = sum(op.numRowsDroppedByWatermark for step in query.recentProgress for op in step.stateOperators)
+    if late:
+        warnings.warn(f"{late} grid rows of late observations were dropped", stacklevel=2)
     return spark.read.schema(pairs.schema).parquet(f"{path}/pairs")
