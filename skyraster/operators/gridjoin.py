@@ -24,12 +24,13 @@ BROADCAST_HOT_ROWS = 200_000
 
 @dataclass(frozen=True)
 class GridDim:
-    """One dimension: probe range [low, high], build value, cell size in the same unit."""
+    """One dimension: probe range [low, high], build value, cell size in the same unit (a number, or a
+    column that both sides have under their own name: probe, build)."""
 
     low: Column
     high: Column
     value: Column
-    size: int
+    size: int | tuple[str, str]
 
 
 def _slices(rows: Column, hot_rows: int) -> Column:
@@ -57,9 +58,9 @@ def grid_join(
         left, right = left.withColumn(f"_p{i}", F.col(p)), right.withColumn(f"_b{i}", F.col(b))
         keys.append((f"_p{i}", f"_b{i}"))
     for i, dim in enumerate(dims, start=len(keys)):
-        span = F.sequence(cell_of(dim.low, dim.size), cell_of(dim.high, dim.size))
-        left = left.withColumn(f"_p{i}", F.explode(span))
-        right = right.withColumn(f"_b{i}", cell_of(dim.value, dim.size))
+        own, other = [F.col(s) for s in dim.size] if isinstance(dim.size, tuple) else [dim.size] * 2
+        left = left.withColumn(f"_p{i}", F.explode(F.sequence(cell_of(dim.low, own), cell_of(dim.high, own))))
+        right = right.withColumn(f"_b{i}", cell_of(dim.value, other))
         keys.append((f"_p{i}", f"_b{i}"))
     if hot_rows is not None:
         left, right, keys = _slice_hot(left, right, keys, hot_rows)

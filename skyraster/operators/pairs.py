@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,48 @@ from ..functions.geometry import int_distance, long_square
 from .gridjoin import HOT_ROWS, GridDim, grid_join
 
 CANDIDATE_EPSILON = 1e-4
+#: Time differences of a band: its longest is less than this many times its shortest.
+BAND_GROWTH = 4
+
+
+def step_bands(longest: int) -> list[tuple[int, int]]:
+    """(shortest, longest) time difference of each band: 1-3, 4-15, 16-63, ... up to ``longest``."""
+    bands, low = [], 1
+    while low <= longest:
+        bands.append((low, min(low * BAND_GROWTH - 1, longest)))
+        low *= BAND_GROWTH
+    return bands
+
+
+def _banded(rows: DataFrame, prefix: str, bands: list[tuple[int, int]], reach: Callable[[int], int]) -> DataFrame:
+    """Every row once for each band, with the band's reach in space (``reach`` of its longest step), the
+    size of its cells and its bounds in time.  Cells of short steps stay small however long the history."""
+    table = [
+        F.struct(
+            F.lit(low).alias("low"), F.lit(high).alias("high"), F.lit(reach(high)).alias("reach"), F.lit(2 * reach(high) + 1).alias("size")
+        )
+        for low, high in bands
+    ]
+    one = rows.withColumn("_band", F.explode(F.array(*table)))
+    return one.select(*rows.columns, *[F.col(f"_band.{c}").alias(f"{prefix}{c}") for c in ("low", "high", "reach", "size")])
+
+
+def _band_dims() -> list[GridDim]:
+    """Two space axes and time, each with the cell size of the band; ``low`` is the band's number."""
+    size = ("n_size", "e_size")
+    return [
+        GridDim(F.col("n_centerx") - F.col("n_reach"), F.col("n_centerx") + F.col("n_reach"), F.col("e_centerx"), size),
+        GridDim(F.col("n_centery") - F.col("n_reach"), F.col("n_centery") + F.col("n_reach"), F.col("e_centery"), size),
+        GridDim(F.col("n_time") - F.col("n_high"), F.col("n_time") - F.col("n_low"), F.col("e_time"), ("n_high", "e_high")),
+    ]
+
+
+#: Both sides in the same band, and the pair's time difference in it.
+BAND_KEY = [("n_low", "e_low")]
+
+
+def _in_band() -> Column:
+    return (F.col("n_time") - F.col("e_time")).between(F.col("n_low"), F.col("n_high"))
 
 
 def _renamed(obs: DataFrame, prefix: str, columns: list[str]) -> DataFrame:
@@ -28,22 +71,16 @@ def motion_pairs(
 ) -> DataFrame:
     """(new, existing) pairs: existing is 1..t time steps older and within d2 per step of distance.
 
-    The key is a space cell and a time bucket of ``t`` steps.  A cell is as wide as the largest
-    search window, so a new observation visits at most two cells per axis.
+    The key is a band of time differences, a space cell and a time bucket.  A cell is as wide as the
+    band's largest search window, so a new observation visits at most two cells per axis.
     """
-    reach = int(math.floor(d2 * t))
-    dims = [
-        GridDim(F.col("n_centerx") - reach, F.col("n_centerx") + reach, F.col("e_centerx"), 2 * reach + 1),
-        GridDim(F.col("n_centery") - reach, F.col("n_centery") + reach, F.col("e_centery"), 2 * reach + 1),
-        GridDim(F.col("n_time") - t, F.col("n_time") - 1, F.col("e_time"), max(t, 1)),
-    ]
+    bands = step_bands(t) or [(1, 1)]
     columns = ["obsid", "time", "centerx", "centery"]
     step = F.col("n_time") - F.col("e_time")
     limit = F.lit(float(d2)) * step.cast("double")
-    near = step.between(1, t) & (_squared_distance().cast("double") <= limit * limit)
-    joined = grid_join(
-        _renamed(new, "n_", columns), _renamed(history, "e_", columns), dims, near, hot_rows=hot_rows
-    )
+    near = _in_band() & step.between(1, t) & (_squared_distance().cast("double") <= limit * limit)
+    sides = [_banded(_renamed(rows, p, columns), p, bands, lambda s: int(math.floor(d2 * s))) for rows, p in ((new, "n_"), (history, "e_"))]
+    joined = grid_join(*sides, _band_dims(), near, BAND_KEY, hot_rows=hot_rows)
     return joined.select(
         F.col("n_obsid").alias("new_obsid"),
         F.col("e_obsid").alias("existing_obsid"),
@@ -112,10 +149,10 @@ def similar_pairs(
     """Pairs of any two times with close position, size and brightness.
 
     The radius is d2 * (t_new/t - t_old/t), truncated to a whole number.  ``batch`` compares it with
-    the truncated distance, ``radius`` with the exact distance.  Besides the two space cells the
-    key holds a brightness bucket, the most selective of the three limits.  ``new`` limits the
-    later side (default: all of ``obs``).  ``max_step`` is the longest time span present; it sizes
-    the cells and is read from the data when it is not given.
+    the truncated distance, ``radius`` with the exact distance.  Besides the band of time differences,
+    the two space cells and the time bucket, the key holds a brightness bucket.  ``new`` limits the
+    later side (default: all of ``obs``).  ``max_step`` is the longest time span present; it bounds
+    the bands and is read from the data when it is not given.
     """
     if mode not in ("batch", "radius"):
         raise ValueError("mode must be 'batch' or 'radius'")
@@ -125,13 +162,9 @@ def similar_pairs(
         first = obs.agg(F.min("time").alias("lo"))
         span = last.first()["hi"], first.first()["lo"]
         max_step = max(0, span[0] - span[1]) if None not in span else 0
-    reach = int(math.floor(d2 * (max_step / t))) + 1
+    bands = step_bands(max_step) or [(1, 1)]
     columns = ["obsid", "time", "centerx", "centery", "pixelSum", "averageDist"]
-    dims = [
-        GridDim(F.col("n_centerx") - reach, F.col("n_centerx") + reach, F.col("e_centerx"), 2 * reach + 1),
-        GridDim(F.col("n_centery") - reach, F.col("n_centery") + reach, F.col("e_centery"), 2 * reach + 1),
-        GridDim(F.col("n_pixelSum") - d_sum, F.col("n_pixelSum") + d_sum, F.col("e_pixelSum"), 2 * d_sum + 1),
-    ]
+    bright = GridDim(F.col("n_pixelSum") - d_sum, F.col("n_pixelSum") + d_sum, F.col("e_pixelSum"), 2 * d_sum + 1)
     scale = F.lit(float(t))
     radius = (F.lit(float(d2)) * (F.col("n_time") / scale - F.col("e_time") / scale)).cast("int")
     if mode == "batch":
@@ -141,14 +174,16 @@ def similar_pairs(
     else:
         close = _squared_distance() <= long_square(radius)
     near = (
-        (F.col("e_time") < F.col("n_time"))
+        _in_band()
         & close
         & (F.abs(F.col("n_averageDist") - F.col("e_averageDist")) <= F.lit(float(d_radius)))
         & (F.abs(F.col("n_pixelSum") - F.col("e_pixelSum")) <= d_sum)
     )
-    joined = grid_join(
-        _renamed(later, "n_", columns), _renamed(obs, "e_", columns), dims, near, hot_rows=hot_rows
-    )
+    sides = [
+        _banded(_renamed(rows, p, columns), p, bands, lambda s: int(math.floor(d2 * (s / t))) + 1)
+        for rows, p in ((later, "n_"), (obs, "e_"))
+    ]
+    joined = grid_join(*sides, [*_band_dims(), bright], near, BAND_KEY, hot_rows=hot_rows)
     return joined.select(
         F.col("n_obsid").alias("new_obsid"),
         F.col("e_obsid").alias("existing_obsid"),

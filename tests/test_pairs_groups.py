@@ -9,7 +9,7 @@ from skyraster.operators.cook import obs_vertices
 from skyraster.operators.gridjoin import GridDim, grid_join
 from skyraster.operators.groups import accumulate, center_traj, group_members, polygon_traj
 from skyraster.operators.obs_queries import q6_neighbours
-from skyraster.operators.pairs import motion_pairs, similar_pairs
+from skyraster.operators.pairs import BAND_GROWTH, motion_pairs, similar_pairs, step_bands
 from skyraster.session import materialize
 from skyraster.sources import observation_text
 
@@ -67,6 +67,17 @@ def test_similar_pairs(spark, crowd, mode, hot_rows):
     assert sorted((r.new_obsid, r.existing_obsid) for r in found.collect()) == sorted(expected)
 
 
+def test_longer_history_keeps_the_cells_of_short_steps():
+    """Bands, and so the cells of their rows, of short steps do not depend on the longest one."""
+    assert step_bands(3) == [(1, 3)]
+    for longest in (4, 17, 1000, 100_000):
+        bands = step_bands(longest)
+        assert bands[: len(step_bands(3))] == step_bands(3)
+        assert [low for low, _ in bands[1:]] == [high + 1 for _, high in bands[:-1]] and bands[-1][1] == longest
+        assert all(high < BAND_GROWTH * low for low, high in bands)
+    assert step_bands(0) == []
+
+
 def test_grid_join_with_equal_key_and_slices(spark):
     left = spark.createDataFrame([(i, i % 2, i) for i in range(60)], "a int, k int, v int")
     right = spark.createDataFrame([(i, i % 2, i % 20) for i in range(60)], "b int, j int, w int")
