@@ -48,9 +48,10 @@ def grid_join(
     """Pairs of probe and build rows whose build values fall in the probe ranges.
 
     ``equal`` adds plain equality keys (probe column, build column).  Column names of the two
-    sides must differ.  With ``hot_rows`` the rows per cell are counted first (one aggregation,
-    combined map-side) and crowded cells are split into slices on both sides; ``None`` leaves skew
-    to adaptive execution, which is what a stream or a bounded selection needs.
+    sides must differ.  With ``hot_rows`` the rows per cell are counted first and crowded cells are
+    split into slices on both sides; ``None`` leaves skew to adaptive execution, which is what a
+    stream or a bounded selection needs.  Build rows, which have one cell each, are counted first:
+    probe rows are only counted in cells that would be crowded if all of them met there.
     """
     left, right = probe, build
     keys = []
@@ -63,27 +64,35 @@ def grid_join(
         right = right.withColumn(f"_b{i}", cell_of(dim.value, other))
         keys.append((f"_p{i}", f"_b{i}"))
     if hot_rows is not None:
-        left, right, keys = _slice_hot(left, right, keys, hot_rows)
+        left, right, keys = _slice_hot(left, right, keys, hot_rows, probe.count())
     on = condition
     for p, b in keys:
         on = on & (F.col(p) == F.col(b))
     return left.join(right, on).drop(*[name for pair in keys for name in pair])
 
 
-def _slice_hot(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]], hot_rows: int):
-    """Split crowded cells: a slice of one side meets every slice of the other side."""
+def _slice_hot(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]], hot_rows: int, probes: int):
+    """Split crowded cells: a slice of one side meets every slice of the other side.  ``probes`` rows
+    at most lie in one cell of the left side."""
     names = [f"_k{i}" for i in range(len(keys))]
-    tagged = left.select(
-        *[F.col(p).alias(n) for (p, _), n in zip(keys, names)], F.lit(1).alias("_l"), F.lit(0).alias("_r")
-    ).unionByName(
-        right.select(
-            *[F.col(b).alias(n) for (_, b), n in zip(keys, names)], F.lit(0).alias("_l"), F.lit(1).alias("_r")
-        )
-    )
+    limit = float(hot_rows) ** 2
+
+    def counted(side: DataFrame, columns: list[str], into: str) -> DataFrame:
+        return side.groupBy(*[F.col(c).alias(n) for c, n in zip(columns, names)]).agg(F.count(F.lit(1)).alias(into))
+
+    dense = counted(right, [b for _, b in keys], "_nr").filter(F.col("_nr") * F.lit(float(probes)) > limit)
+    dense, seen = materialize_counted(dense, "dense-cells")
+    if seen["rows"] == 0:
+        return left, right, keys
+    few = F.broadcast(dense) if seen["rows"] <= BROADCAST_HOT_ROWS else dense
+    met = None
+    for (p, _), name in zip(keys, names):
+        term = F.col(p) == F.col(name)
+        met = term if met is None else met & term
     hot = (
-        tagged.groupBy(*names)
-        .agg(F.sum("_l").alias("_nl"), F.sum("_r").alias("_nr"))
-        .filter(F.col("_nl").cast("double") * F.col("_nr") > float(hot_rows) ** 2)
+        counted(left.join(few.select(*names), met, "left_semi"), [p for p, _ in keys], "_nl")
+        .join(few, names)
+        .filter(F.col("_nl").cast("double") * F.col("_nr") > limit)
         .select(*names, _slices(F.col("_nl"), hot_rows).alias("_sl"), _slices(F.col("_nr"), hot_rows).alias("_sr"))
     )
     hot, seen = materialize_counted(hot, "hot-cells")

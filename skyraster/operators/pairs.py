@@ -13,11 +13,14 @@ from .gridjoin import HOT_ROWS, GridDim, grid_join
 
 CANDIDATE_EPSILON = 1e-4
 #: Time differences of a band: its longest is less than this many times its shortest.
-BAND_GROWTH = 4
+BAND_GROWTH = 8
+#: Cells, buckets of time and of brightness are so many search windows wide: a row then visits
+#: 1 + 1 / CELL_WINDOWS of them on average.
+CELL_WINDOWS = 2
 
 
 def step_bands(longest: int) -> list[tuple[int, int]]:
-    """(shortest, longest) time difference of each band: 1-3, 4-15, 16-63, ... up to ``longest``."""
+    """(shortest, longest) time difference of each band: 1-7, 8-63, 64-511, ... up to ``longest``."""
     bands, low = [], 1
     while low <= longest:
         bands.append((low, min(low * BAND_GROWTH - 1, longest)))
@@ -30,12 +33,16 @@ def _banded(rows: DataFrame, prefix: str, bands: list[tuple[int, int]], reach: C
     size of its cells and its bounds in time.  Cells of short steps stay small however long the history."""
     table = [
         F.struct(
-            F.lit(low).alias("low"), F.lit(high).alias("high"), F.lit(reach(high)).alias("reach"), F.lit(2 * reach(high) + 1).alias("size")
+            F.lit(low).alias("low"),
+            F.lit(high).alias("high"),
+            F.lit(reach(high)).alias("reach"),
+            F.lit(CELL_WINDOWS * (2 * reach(high) + 1)).alias("size"),
+            F.lit(CELL_WINDOWS * high).alias("steps"),
         )
         for low, high in bands
     ]
     one = rows.withColumn("_band", F.explode(F.array(*table)))
-    return one.select(*rows.columns, *[F.col(f"_band.{c}").alias(f"{prefix}{c}") for c in ("low", "high", "reach", "size")])
+    return one.select(*rows.columns, *[F.col(f"_band.{c}").alias(f"{prefix}{c}") for c in ("low", "high", "reach", "size", "steps")])
 
 
 def _band_dims() -> list[GridDim]:
@@ -44,7 +51,7 @@ def _band_dims() -> list[GridDim]:
     return [
         GridDim(F.col("n_centerx") - F.col("n_reach"), F.col("n_centerx") + F.col("n_reach"), F.col("e_centerx"), size),
         GridDim(F.col("n_centery") - F.col("n_reach"), F.col("n_centery") + F.col("n_reach"), F.col("e_centery"), size),
-        GridDim(F.col("n_time") - F.col("n_high"), F.col("n_time") - F.col("n_low"), F.col("e_time"), ("n_high", "e_high")),
+        GridDim(F.col("n_time") - F.col("n_high"), F.col("n_time") - F.col("n_low"), F.col("e_time"), ("n_steps", "e_steps")),
     ]
 
 
@@ -71,8 +78,9 @@ def motion_pairs(
 ) -> DataFrame:
     """(new, existing) pairs: existing is 1..t time steps older and within d2 per step of distance.
 
-    The key is a band of time differences, a space cell and a time bucket.  A cell is as wide as the
-    band's largest search window, so a new observation visits at most two cells per axis.
+    The key is a band of time differences, a space cell and a time bucket.  A cell is
+    twice as wide as the band's largest search window, so a new observation visits at most two cells
+    per axis, mostly one.
     """
     bands = step_bands(t) or [(1, 1)]
     columns = ["obsid", "time", "centerx", "centery"]
@@ -164,7 +172,7 @@ def similar_pairs(
         max_step = max(0, span[0] - span[1]) if None not in span else 0
     bands = step_bands(max_step) or [(1, 1)]
     columns = ["obsid", "time", "centerx", "centery", "pixelSum", "averageDist"]
-    bright = GridDim(F.col("n_pixelSum") - d_sum, F.col("n_pixelSum") + d_sum, F.col("e_pixelSum"), 2 * d_sum + 1)
+    bright = GridDim(F.col("n_pixelSum") - d_sum, F.col("n_pixelSum") + d_sum, F.col("e_pixelSum"), CELL_WINDOWS * (2 * d_sum + 1))
     scale = F.lit(float(t))
     radius = (F.lit(float(d2)) * (F.col("n_time") / scale - F.col("e_time") / scale)).cast("int")
     if mode == "batch":
