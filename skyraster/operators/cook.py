@@ -9,7 +9,7 @@ from ..functions.geometry import shift_polygon
 from ..functions.ordinals import running_offset, running_total
 from ..session import materialize, materialize_counted
 from .components import BAND_ROWS, label_runs, run_pixels
-from .outline import outline, region_boxes, short_outlines
+from .outline import box_columns, outline, short_outlines
 
 MAX_VERTICES = 50
 #: Regions with more pixels than this are not gathered in one task.
@@ -29,16 +29,14 @@ def object_stats(labelled: DataFrame, hot_pixels: int = HOT_PIXELS) -> DataFrame
     centroids are broadcast and their runs are summed where they are read.
     """
     key = ["imageid", "label"]
-    pixels = run_pixels(labelled).withColumn("pix", F.col("pix").cast("long"))
-    sums = pixels.groupBy(*key).agg(
-        F.sum("pix").alias("pixelSum"),
-        F.sum(F.col("pix") * F.col("x")).alias("_wx"),
-        F.sum(F.col("pix") * F.col("y")).alias("_wy"),
-        F.count(F.lit(1)).alias("n"),
-        F.min("x").alias("minx"),
-        F.min("y").alias("miny"),
-        F.max("x").alias("maxx"),
-        F.max("y").alias("maxy"),
+    zero = F.lit(0).cast("long")
+    light = F.aggregate("pixels", zero, lambda s, p: s + p)
+    moment = F.aggregate(F.transform("pixels", lambda p, i: p.cast("long") * (F.col("xs") + i)), zero, lambda s, p: s + p)
+    sums = labelled.groupBy(*key).agg(
+        F.sum(light).alias("pixelSum"),
+        F.sum(moment).alias("_wx"),
+        F.sum(light * F.col("y")).alias("_wy"),
+        *box_columns(),
     )
     sums = sums.withColumns(
         {
@@ -125,7 +123,8 @@ def observations_of(
     """
     stats = object_stats(labelled)
     if max_vertices is not None:
-        stats = stats.join(short_outlines(labelled, region_boxes(labelled), max_vertices), ["imageid", "label"])
+        stats = materialize(stats, "object-stats")
+        stats = stats.join(short_outlines(labelled, stats, max_vertices), ["imageid", "label"])
     numbered = number_objects(materialize(stats, "objects"), start_id)
     named = numbered.withColumnsRenamed(
         {"minx": "boxxstart", "miny": "boxystart", "maxx": "boxxend", "maxy": "boxyend"}

@@ -226,15 +226,20 @@ def _wide_outlines(labelled: DataFrame, boxes: DataFrame) -> DataFrame:
     return placed.select(*key, F.col("ord").cast("int").alias("ord"), F.col("at.x").alias("x"), F.col("at.y").alias("y"))
 
 
-def region_boxes(labelled: DataFrame) -> DataFrame:
-    """Pixel count and bounding box of each region."""
-    return labelled.groupBy("imageid", "label").agg(
+def box_columns() -> list[Column]:
+    """Pixel count and bounding box, as aggregates of runs."""
+    return [
         F.sum(F.col("xe") - F.col("xs") + 1).alias("n"),
         F.min("xs").alias("minx"),
         F.max("xe").alias("maxx"),
         F.min("y").alias("miny"),
         F.max("y").alias("maxy"),
-    )
+    ]
+
+
+def region_boxes(labelled: DataFrame) -> DataFrame:
+    """Pixel count and bounding box of each region."""
+    return labelled.groupBy("imageid", "label").agg(*box_columns())
 
 
 def short_outlines(labelled: DataFrame, boxes: DataFrame, max_vertices: int) -> DataFrame:
@@ -260,12 +265,12 @@ def short_outlines(labelled: DataFrame, boxes: DataFrame, max_vertices: int) ->
 
 def outline(labelled: DataFrame, boxes: DataFrame | None = None, small_side: int = SMALL_SIDE) -> DataFrame:
     """Outline vertices of every region: imageid, label, ord, x, y."""
-    boxes = region_boxes(labelled) if boxes is None else boxes
     near = (F.col("maxx") - F.col("minx") < small_side) & (F.col("maxy") - F.col("miny") < small_side)
+    boxes = region_boxes(labelled) if boxes is None else boxes
+    boxes, seen = materialize_counted(boxes, "region-boxes", {"near": F.sum(near.cast("long"))})
     walked = _small_outlines(labelled, boxes.filter(near), None).select(
         "imageid", "label", F.posexplode("polygon").alias("ord", "p")
     ).select("imageid", "label", "ord", F.col("p.x").alias("x"), F.col("p.y").alias("y"))
-    wide = boxes.filter(~near)
-    if wide.isEmpty():
+    if seen["rows"] == (seen["near"] or 0):
         return walked
-    return walked.unionByName(_wide_outlines(labelled, wide))
+    return walked.unionByName(_wide_outlines(labelled, boxes.filter(~near)))
