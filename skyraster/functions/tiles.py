@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 TILE_SIZE = 100
 TILE_RATIO = 1000
 REGION_SIZE = 1000
+#: Tile rows of one folder of a stored raster.
+BAND_TILES = 8
 
 
 def idiv(value: Column, divisor: int | Column) -> Column:
@@ -33,6 +35,11 @@ def tile_y(tile: Column, ratio: int = TILE_RATIO) -> Column:
     return idiv(tile, ratio).cast("int")
 
 
+def band_of(tile: Column, ratio: int = TILE_RATIO) -> Column:
+    """Band of tile rows, the finest folder of a stored raster."""
+    return idiv(tile, ratio * BAND_TILES).cast("int")
+
+
 def region_of(x: Column, y: Column, region_size: int = REGION_SIZE) -> Column:
     """Coarse region number used to bucket observations: y region in the high bits."""
     return (F.shiftleft(idiv(y, region_size), 16) + idiv(x, region_size)).cast("int")

@@ -27,6 +27,9 @@ def images_in_slab(images: DataFrame, rect: Rect) -> DataFrame:
 
 
 def pixels_of_cycle(pixels: DataFrame, images: DataFrame, cycle: int) -> DataFrame:
-    """Pixels of one cycle.  A semi join on imageid prunes partitions of a raster laid out by image."""
+    """Pixels of one cycle.  A stored raster is pruned by its own cycle column, and by the semi join on
+    imageid."""
+    if "cycle" in pixels.columns:
+        pixels = pixels.filter(F.col("cycle") == cycle)
     chosen = images.filter(F.col("cycle") == cycle).select("imageid")
     return pixels.join(chosen, "imageid", "left_semi")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import Rect, box_inside, box_overlaps, point_in_rect
-from ..functions.tiles import TILE_RATIO, TILE_SIZE, idiv
+from ..functions.tiles import TILE_RATIO, TILE_SIZE, band_of, idiv
 from ..session import materialize
 from .catalog import images_in_slab
 from .gridjoin import GridDim, grid_join
@@ -87,6 +87,14 @@ def cutout_tiles(
     )
 
 
+def _dense(first: Column, tile_size: int) -> Column:
+    """The pixels of ``_row``, (x, pix) by x, as one value for each column of the tile; NULL where none is."""
+    full = F.size("_row") == tile_size
+    at = F.map_from_entries("_row")
+    sparse = F.transform(F.sequence(first, first + tile_size - 1), lambda x: F.try_element_at(at, x.cast("int")))
+    return F.when(full, F.transform("_row", lambda p: p["pix"])).otherwise(sparse)
+
+
 def cutouts(
     ids: DataFrame,
     obs: DataFrame,
@@ -131,19 +139,23 @@ def cutouts(
     )
     # Written once: the raster is then filtered by a small table of known size, before its shuffle.
     tiles = materialize(tiles, "cutout-tiles")
-    wanted = materialize(tiles.select("imageid", "tile").distinct(), "cutout-wanted")
+    wanted = tiles.select("imageid", band_of(F.col("tile"), ratio).alias("band"), "tile").distinct()
+    wanted = materialize(wanted, "cutout-wanted")
+    keys = ["imageid", "band", "tile"] if "band" in pixels.columns else ["imageid", "tile"]
+    # The comparison, true of all tiles, marks the table as one to prune the folders of a raster by.
     strips = (
-        pixels.select("imageid", "tile", "x", "y", "pix")
+        pixels.select(*keys, "x", "y", "pix")
         .join(images.select("imageid"), "imageid", "left_semi")
-        .join(wanted, ["imageid", "tile"], "left_semi")
+        .join(wanted.filter(F.col("tile") >= 0).select(*keys), keys, "left_semi")
         .groupBy("imageid", "tile", "y")
-        .agg(F.map_from_entries(F.collect_list(F.struct("x", "pix"))).alias("strip"))
+        .agg(F.sort_array(F.collect_list(F.struct("x", "pix"))).alias("_row"))
+        .select("imageid", "tile", "y", _dense(F.col("tile") % ratio * tile_size, tile_size).alias("strip"))
     )
     rows = tiles.withColumn("y", F.explode(F.sequence(F.col("y0"), F.col("y1") - 1))).join(
         strips, ["imageid", "tile", "y"], "left" if fill else "inner"
     )
     found = rows.withColumn("x", F.explode(F.sequence(F.col("x0"), F.col("x1") - 1))).withColumn(
-        "pix", F.try_element_at("strip", F.col("x"))
+        "pix", F.get("strip", F.pmod(F.col("x"), F.lit(tile_size)))
     )
     if fill:
         found = found.withColumn("pix", F.coalesce("pix", F.lit(0)))

@@ -6,17 +6,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import Rect
-from ..functions.tiles import TILE_RATIO, TILE_SIZE, box_tile_ranges, in_box, in_tile_ranges
+from ..functions.tiles import BAND_TILES, TILE_RATIO, TILE_SIZE, box_tile_ranges, in_box, in_tile_ranges
 from .catalog import pixels_of_cycle
 
 
 def box_pixels(
     pixels: DataFrame, rect: Rect | None, tile_size: int = TILE_SIZE, ratio: int = TILE_RATIO
 ) -> DataFrame:
-    """Pixels of a closed box in image coordinates, with the tile predicate that prunes row groups."""
+    """Pixels of a closed box in image coordinates, with the tile predicate that prunes row groups and,
+    for a stored raster, the band predicate that prunes folders."""
     if rect is None:
         return pixels
     ranges = box_tile_ranges(rect, tile_size, ratio)
+    if "band" in pixels.columns and ranges:
+        rows = ratio * BAND_TILES
+        pixels = pixels.filter(F.col("band").between(ranges[0][0] // rows, ranges[-1][1] // rows))
     return pixels.filter(in_tile_ranges(F.col("tile"), ranges, ratio) & in_box(F.col("x"), F.col("y"), rect))
 
 

@@ -18,8 +18,9 @@ from ..operators.cook import observations_of
 from ..operators.groups import accumulate, group_summary, step_boxes
 from ..operators.pairs import motion_pairs
 from ..schema import PIXELS
-from ..session import materialize
+from ..session import materialize, scratch_path
 from ..sources.generator import rescaled
+from ..sources.layout import read_raster, write_raster
 from ..sources.raster_text import image_name
 
 TILE_SIZE = 10
@@ -190,6 +191,12 @@ class SkyTables:
     def stored_obs(self) -> DataFrame:
         return materialize(self.obs, "fixture-obs")
 
+    @cached_property
+    def stored_raster(self) -> DataFrame:
+        path = scratch_path(self.spark, "fixture-raster")
+        write_raster(self.pixels, self.images, path)
+        return read_raster(self.spark, path)
+
     @cached_property
     def stored_pairs(self) -> DataFrame:
         return materialize(motion_pairs(self.stored_obs, self.stored_obs, D2, T), "fixture-pairs")

@@ -129,7 +129,7 @@ def gen_piece(sky: SkyTables) -> DataFrame:
 def write_raster(sky: SkyTables) -> DataFrame:
     path = scratch_path(sky.spark, "raster")
     layout.write_raster(sky.pixels, sky.images, path)
-    return layout.read_raster(sky.spark, path)
+    return layout.read_raster(sky.spark, path).drop("band")
 
 
 @query
@@ -330,6 +330,16 @@ def q1_box(sky: SkyTables) -> DataFrame:
     return pixel_stats.q1(sky.pixels, sky.images, 1, "pix", PIXEL_BOX, **LAYOUT)
 
 
+@query
+def q1_stored(sky: SkyTables) -> DataFrame:
+    return pixel_stats.q1(sky.stored_raster, sky.images, 1, "pix", PIXEL_BOX, **LAYOUT)
+
+
+@query
+def q3_stored(sky: SkyTables) -> DataFrame:
+    return regrid.regrid(sky.stored_raster, sky.images, rect=PIXEL_BOX, **LAYOUT)
+
+
 @query
 def q1_all(sky: SkyTables) -> DataFrame:
     return pixel_stats.q1(sky.pixels, sky.images, 1, "v0")
@@ -461,22 +471,40 @@ def similar_pairs_radius(sky: SkyTables) -> DataFrame:
     return pairs.similar_pairs(sky.stored_obs, t=4, d2=3, d_radius=2, d_sum=1000, mode="radius")
 
 
-@query
-def q8(sky: SkyTables) -> DataFrame:
+def _q8(sky: SkyTables, pixels: DataFrame) -> DataFrame:
     return cutouts.q8(
-        sky.cooked_members, sky.cooked_obs, sky.images, sky.pixels, RASTER_SLAB, CUT,
+        sky.cooked_members, sky.cooked_obs, sky.images, pixels, RASTER_SLAB, CUT,
         boxes=sky.cooked_summary, **LAYOUT, **IMAGE_CELL,
     )
 
 
-@query
-def q9(sky: SkyTables) -> DataFrame:
+def _q9(sky: SkyTables, pixels: DataFrame) -> DataFrame:
     return cutouts.q9(
-        sky.cooked_members, sky.cooked_obs, sky.images, sky.pixels, 2, RASTER_SLAB, CUT,
+        sky.cooked_members, sky.cooked_obs, sky.images, pixels, 2, RASTER_SLAB, CUT,
         steps=sky.cooked_steps, **LAYOUT, **IMAGE_CELL,
     )
 
 
+@query
+def q8(sky: SkyTables) -> DataFrame:
+    return _q8(sky, sky.pixels)
+
+
+@query
+def q8_stored(sky: SkyTables) -> DataFrame:
+    return _q8(sky, sky.stored_raster)
+
+
+@query
+def q9(sky: SkyTables) -> DataFrame:
+    return _q9(sky, sky.pixels)
+
+
+@query
+def q9_stored(sky: SkyTables) -> DataFrame:
+    return _q9(sky, sky.stored_raster)
+
+
 @query
 def cutout_tiles(sky: SkyTables) -> DataFrame:
     return cutouts.cutout_tiles(sky.cooked_obs, sky.images, CUT, **LAYOUT, **IMAGE_CELL)

@@ -9,6 +9,7 @@ from skyraster.operators.cutouts import cutouts
 from skyraster.operators.pixel_stats import merge_partials, q1, q1_partials
 from skyraster.operators.regrid import regrid
 from skyraster.plans.fixtures import COLUMNS, TILE_SIZE, sky_tables
+from skyraster.plans.registry import queries
 from skyraster.session import materialize
 from skyraster.sources import layout, raster_binary, raster_text
 
@@ -119,13 +120,27 @@ def test_stored_raster_prunes(spark, pixels, images, tmp_path):
     path = str(tmp_path / "raster")
     layout.write_raster(pixels, images, path)
     stored = layout.read_raster(spark, path)
-    assert rows_of(stored.drop("cycle")) == rows_of(pixels)
+    assert rows_of(stored.drop("cycle", "band")) == rows_of(pixels)
     chosen = stored.filter("cycle = 1 and imageid = 2 and tile between 1001 and 1003").select("pix")
     plan = chosen._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(cycle" in plan and "GreaterThanOrEqual(tile,1001)" in plan
     assert "ReadSchema: struct<tile:int,pix:int>" in plan
 
 
+def test_queries_prune_the_stored_raster(spark):
+    """Q1 and Q3 read the folders of their cycle and band; Q8 and Q9 those that their tiles lie in."""
+    spark.conf.set("spark.sql.maxMetadataStringLength", "5000")
+    for name in ("q1_stored", "q3_stored", "q8_stored", "q9_stored"):
+        plan = queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        scan = next(line for line in plan.splitlines() if "fixture-raster" in line)
+        filters = scan.split("PartitionFilters: ")[1].split("PushedFilters")[0]
+        assert "band" in filters, (name, filters)
+        if name in ("q8_stored", "q9_stored"):
+            assert "dynamicpruningexpression(band" in filters, (name, filters)
+        if name == "q1_stored":
+            assert "cycle" in filters, (name, filters)
+
+
 def test_images_are_placed_round_robin(pixels):
     placed = layout.place_images(pixels, 3).withColumn("part", F.spark_partition_id())
     rows = placed.select("imageid", "node", "part").distinct().collect()
