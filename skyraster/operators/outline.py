@@ -3,7 +3,7 @@
 The walk starts at the pixel with the lowest x, then lowest y, with the direction up-left, and at
 every pixel takes the first neighbour found clockwise, beginning 45 degrees left of the last move
 (90 degrees after a diagonal one).  It ends when start pixel and first direction come together
-again, or after 2 + 2n steps.  A one-pixel region has one vertex.
+again; a walk of more than 2 + 2n steps is an error.  A one-pixel region has one vertex.
 
 Two ways produce the same vertices.  Regions with short sides are walked in Arrow batches, all
 regions of a batch in step.  Wide regions never come together in one task: their walk is a linked
@@ -67,7 +67,9 @@ def _walk(masks: list[np.ndarray], limits: np.ndarray) -> list[np.ndarray]:
     while len(active):
         cx, cy = cx + dx[move], cy + dy[move]
         move = choose(active, cx, cy, move)
-        on = ((cx != sx) | (cy != sy) | (move != smove)) & (steps <= limits[active])
+        on = (cx != sx) | (cy != sy) | (move != smove)
+        if (on & (steps > limits[active])).any():
+            raise RuntimeError("the walk around a region does not close")
         active, cx, cy, move = active[on], cx[on], cy[on], move[on]
         sx, sy, smove = sx[on], sy[on], smove[on]
         path.append((active, cx - 1, cy - 1))
@@ -212,9 +214,11 @@ def _wide_outlines(labelled: DataFrame, boxes: DataFrame) -> DataFrame:
         further = (
             placed.join(links, [*key, "at"])
             .select(*key, F.col("to").alias("at"), (F.col("ord") + reach).alias("ord"), "limit")
-            .filter(F.col("ord") < F.col("limit"))
         )
-        further, seen = materialize_counted(further, "outline-placed")
+        over = F.sum(F.when(F.col("ord") >= F.col("limit"), 1).otherwise(0))
+        further, seen = materialize_counted(further, "outline-placed", {"over": over})
+        if seen["over"]:
+            raise RuntimeError("the walk around a region does not close")
         if seen["rows"] == 0:
             break
         placed = placed.unionByName(further)

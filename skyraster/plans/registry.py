@@ -65,7 +65,7 @@ def scan_raster_csv(sky: SkyTables) -> DataFrame:
 
 def _binary(sky: SkyTables, file_layout: str) -> str:
     path = scratch_path(sky.spark, f"raster-{file_layout}")
-    raster_binary.write_raster_binary(sky.pixels, path, fx.COLUMNS, file_layout, band_rows=32).count()
+    raster_binary.write_raster_binary(sky.pixels, path, fx.COLUMNS, file_layout, 32, sky.images).count()
     return path
 
 

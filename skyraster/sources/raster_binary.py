@@ -158,21 +158,28 @@ def scan_raster_binary(
     )
 
 
-def write_raster_binary(pixels: DataFrame, path: str, width: int, layout: str = "record", band_rows: int = 64) -> DataFrame:
+def write_raster_binary(
+    pixels: DataFrame, path: str, width: int, layout: str = "record", band_rows: int = 64, images: DataFrame | None = None
+) -> DataFrame:
     """Write bands of ``band_rows`` image rows, each as its own file; returns (imageid, first_row, rows).
 
-    A group is one band, so no task holds a whole image.  Pixels that are absent are written as 0.
-    Files are moved into place when complete, so a repeated task leaves one whole file.
+    A group is one band, so no task holds a whole image.  Pixels that are absent are written as 0: with
+    ``images``, the catalog, in all rows of each image, without it up to the last row of a band that has
+    a pixel.  A column beyond ``width`` is an error.  Files are moved into place when complete, so a repeated task leaves one whole file.
     """
     path = qualified(pixels.sparkSession, path)
 
     def write_band(key: tuple, band: pd.DataFrame) -> pd.DataFrame:
         imageid, number = int(key[0]), int(key[1])
         first_row = number * band_rows
-        rows = int(band["y"].max()) - first_row + 1
+        height = band["_height"].max()
+        band = band[band["x"].notna()]
+        rows = min(band_rows, int(height) - first_row) if height == height else int(band["y"].max()) - first_row + 1
+        y, x = band["y"].to_numpy().astype(np.int64) - first_row, band["x"].to_numpy().astype(np.int64)
+        if len(x) and (x.min() < 0 or x.max() >= width or y.max() >= rows):
+            raise ValueError(f"image {imageid} has pixels outside its {width} columns or its rows")
         block = np.zeros((rows * width, len(PIXEL_ATTRS)), dtype=INT)
-        at = (band["y"].to_numpy() - first_row).astype(np.int64) * width + band["x"].to_numpy()
-        block[at] = band[PIXEL_ATTRS].to_numpy()
+        block[y * width + x] = band[PIXEL_ATTRS].to_numpy()
         system, base = _filesystem(path)
         system.create_dir(base, recursive=True)
         name = f"{base}/bench_{imageid:04d}_y{first_row:08d}"
@@ -186,8 +193,14 @@ def write_raster_binary(pixels: DataFrame, path: str, width: int, layout: str =
             system.move(unfinished, name + suffix)
         return pd.DataFrame({"imageid": [imageid], "first_row": [first_row], "rows": [rows]})
 
+    rows = pixels.select("imageid", "x", "y", *PIXEL_ATTRS, F.lit(None).cast("int").alias("_height"))
+    if images is not None:
+        height = (F.col("yend") - F.col("ystart")).cast("int")
+        starts = F.sequence(F.lit(0), height - 1, F.lit(band_rows))
+        empty = images.filter(height > 0).select("imageid", height.alias("_height"), F.explode(starts).alias("y"))
+        rows = rows.unionByName(empty, allowMissingColumns=True)
     return (
-        pixels.select("imageid", "x", "y", *PIXEL_ATTRS)
+        rows
         .groupBy("imageid", F.floor(F.col("y") / band_rows).alias("band"))
         .applyInPandas(write_band, "imageid int, first_row int, rows int")
     )

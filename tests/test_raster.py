@@ -10,6 +10,7 @@ from skyraster.operators.pixel_stats import merge_partials, q1, q1_partials
 from skyraster.operators.regrid import regrid
 from skyraster.plans.fixtures import COLUMNS, TILE_SIZE, sky_tables
 from skyraster.plans.registry import queries
+from skyraster.schema import PIXEL_ATTRS
 from skyraster.session import materialize
 from skyraster.sources import layout, raster_binary, raster_text
 
@@ -98,6 +99,21 @@ def test_binary_round_trip(spark, pixels, tmp_path, file_layout, slice_bytes):
     assert rows_of(found) == rows_of(pixels)
 
 
+def test_binary_bands_without_pixels(spark, tmp_path):
+    """With the catalog, rows without pixels come back as 0, at the end of a band and in whole bands."""
+    some = spark.createDataFrame([(1, 0, 1, *[5] * 11)], "imageid int, x int, y int, " + ", ".join(f"{a} int" for a in PIXEL_ATTRS))
+    images = spark.createDataFrame([(1, 10, 20), (2, 0, 3)], "imageid int, ystart int, yend int")
+    written = raster_binary.write_raster_binary(some, str(tmp_path / "all"), 2, band_rows=4, images=images).collect()
+    assert sorted(tuple(r) for r in written) == [(1, 0, 4), (1, 4, 4), (1, 8, 2), (2, 0, 3)]
+    rows = raster_binary.scan_raster_binary(spark, str(tmp_path / "all"), 2).collect()
+    assert sorted((r.imageid, r.x, r.y, r.pix) for r in rows) == sorted(
+        (i, x, y, 5 if (i, x, y) == (1, 0, 1) else 0) for i, high in ((1, 10), (2, 3)) for x in range(2) for y in range(high)
+    )
+    wide = some.withColumn("x", F.lit(2))
+    with pytest.raises(Exception, match="outside its 2 columns"):
+        raster_binary.write_raster_binary(wide, str(tmp_path / "wide"), 2).count()
+
+
 def test_binary_whole_image_file(spark, tmp_path):
     """A file without a row suffix starts at row 0; records are 11 little-endian integers."""
     import numpy as np
