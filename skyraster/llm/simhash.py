@@ -270,11 +270,16 @@ def one_of_each(docs: DataFrame, radius: int = 3, shingle: int = 3, crowd: int =
     """
     rows = materialize(with_fingerprint(docs, "text", shingle, "_fp"), "fingerprinted")
     labelled = _classes(rows.select("doc_id", F.col("_fp").alias("fingerprint")), radius, crowd)
+    return keep_first(rows, labelled, docs.columns)
+
+
+def keep_first(rows: DataFrame, labelled: DataFrame, columns: list[str]) -> DataFrame:
+    """Of ``rows`` with their class ``_fp``, one of smallest doc_id per component of ``labelled``."""
     first = F.struct(F.col("first_id").isNull().alias("none"), F.col("first_id").alias("id"), F.col("fp").alias("fp"))
     kept = labelled.groupBy("component_key").agg(F.min(first).alias("k"))
     kept = kept.select(F.col("k.fp").alias("_fp"), F.col("k.id").alias("_keep"))
     same = (rows["_fp"] == kept["_fp"]) & rows["doc_id"].eqNullSafe(kept["_keep"])
-    return rows.join(kept, same, "left_semi").dropDuplicates(["_fp", "doc_id"]).select(*docs.columns)
+    return rows.join(kept, same, "left_semi").dropDuplicates(["_fp", "doc_id"]).select(*columns)
 
 
 def hex_fingerprint(fp: Column) -> Column:
