@@ -9,8 +9,10 @@ class, so all bands miss it with probability (3/4)^bands at most, 1e-4 for 32.
 without a shared shingle of five words, so candidates are few.
 
 Candidates are verified by their shingles as words, not hashes: the share of the template's distinct
-shingles that lie in the window must be 0.8 or more.  Of every (document, template) the best window is
-reported, the earliest of equals, from the first to the last shared shingle in code points.
+shingles that lie in the window must be 0.8 or more.  A licence may have several templates.  Of every
+(document, licence) the best window is reported, the longer and then the earlier of equals, from the first
+to the last shared shingle in code points.  Licences whose texts are alike, as versions of one are, meet
+in the same words: there the one with the greater containment is reported.
 
 A null, empty or short text matches nothing but a template of fewer than five words that it equals as a
 whole sequence; repeated rows are reported each; rows of an empty table are none.
@@ -19,7 +21,7 @@ whole sequence; repeated rows are reported each; rows of an empty table are none
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -83,17 +85,18 @@ def _shingles(words: list[str]) -> list[tuple[str, ...]]:
 class Index:
     """MinHash tables of the templates, by length class."""
 
-    templates: Mapping[str, str]
+    templates: Mapping[str, str | Sequence[str]]
     bands: int = 32
     containment: float = 0.8
-    shingles: dict[str, set] = field(default_factory=dict)
+    shingles: dict[tuple[str, int], set] = field(default_factory=dict)
     classes: dict[int, list] = field(default_factory=dict)
 
     def __post_init__(self):
         self.a, self.b = _mix(self.bands)
         known: dict[str, int] = {}
         members: dict[int, list] = {}
-        for name, text in self.templates.items():
+        texts = [(name, [text] if isinstance(text, str) else text) for name, text in self.templates.items()]
+        for name, text in [((name, n), text) for name, own in texts for n, text in enumerate(own)]:
             words = WORD.findall(text.lower())
             if not words:
                 continue
@@ -107,7 +110,7 @@ class Index:
             order = np.argsort(least, axis=1, kind="stable")
             self.classes[half] = [names, least, np.take_along_axis(least, order, axis=1), order]
 
-    def candidates(self, hashes: np.ndarray) -> set[tuple[str, int, int]]:
+    def candidates(self, hashes: np.ndarray) -> set[tuple[tuple[str, int], int, int]]:
         """(template, first, last shingle position) of windows that meet a template in a band."""
         found = set()
         sizes = sorted(self.classes)
@@ -130,7 +133,7 @@ class Index:
                     found.add((name, at + window * half, at + (window + 3) * half))
         return found
 
-    def _met(self, size: int, low: np.ndarray) -> Iterator[tuple[str, int]]:
+    def _met(self, size: int, low: np.ndarray) -> Iterator[tuple[tuple[str, int], int]]:
         """(template, window) of windows whose least hash equals a template's in some band."""
         names, plain, least, order = self.classes[size]
         if len(names) <= 8:  # few templates: compare with each
@@ -155,20 +158,40 @@ class Index:
             return []
         grams = _shingles(words)
         spans = [m.span() for m in WORD.finditer(text.lower())]
-        best: dict[str, tuple] = {}
+        found: dict[str, list[tuple]] = {}
         for name, first, last in sorted(hits):
             wanted = self.shingles[name]
             shared = [i for i in range(first, min(last, len(grams))) if grams[i] in wanted]
             share = len({grams[i] for i in shared}) / len(wanted)
-            if share >= self.containment and share > best.get(name, (0.0,))[0]:
-                best[name] = (share, spans[shared[0]][0], spans[min(shared[-1] + SHINGLE, len(spans)) - 1][1])
-        return [(name, *found) for name, found in sorted(best.items())]
+            if share >= self.containment:
+                end = spans[min(shared[-1] + SHINGLE, len(spans)) - 1][1]
+                found.setdefault(name[0], []).append((share, spans[shared[0]][0], end))
+        every = [(name, *one) for name, own in found.items() for one in own]
+        out = []
+        for name, own in sorted(found.items()):
+            own = [one for one in own if not any(_outdoes(other, name, one) for other in every)]
+            if own:
+                out.append((name, *max(own, key=lambda one: (one[0], one[2] - one[1], -one[1]))))
+        return out
+
+
+def _outdoes(other: tuple, name: str, one: tuple) -> bool:
+    """Whether ``other``, of another licence, has a greater containment and covers half of ``one`` or more."""
+    rival, share, start, end = other
+    common = min(end, one[2]) - max(start, one[1])
+    return rival != name and share > one[0] and 2 * common >= one[2] - one[1]
 
 
 def scan_licenses(
-    docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, bands: int = 32, containment: float = 0.8
+    docs: DataFrame,
+    templates: Mapping[str, str | Sequence[str]] = TEMPLATES,
+    bands: int = 32,
+    containment: float = 0.8,
 ) -> DataFrame:
-    """(doc_id, license, containment, window_start, window_end) of every template found in a text."""
+    """(doc_id, license, containment, window_start, window_end) of every license found in a text.
+
+    ``templates`` has a text or several texts of each license.
+    """
     index = Index(templates, bands, containment)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

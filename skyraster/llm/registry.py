@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, licenses, mixing, packing, quality, secrets, sharding, simhash, topk, toxicity
+from . import chat, license_library, licenses, mixing, packing, quality, secrets, sharding, simhash, topk, toxicity
 from .common import read_table
 
 
@@ -52,7 +52,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan_licenses(read_table(spark, sf_dir, "documents"))
+    return licenses.scan_licenses(read_table(spark, sf_dir, "documents"), license_library.library())
 
 
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
