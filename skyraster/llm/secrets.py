@@ -4,8 +4,9 @@ Everything is a Spark expression on the text column.  Base kinds take leftmost,
 matches; matches that are too short are dropped afterwards.  The entropy kinds look at every run of
 one character class that is at least a window long: a window slides over the run, the counts of its
 characters change by the one that enters and the one that leaves, and so does the sum of
-``n log2 n`` that gives the entropy.  Windows at or above the threshold are merged into spans.  Runs
-that match the allow-list are suppressed.
+``n log2 n`` that gives the entropy.  Windows at or above the threshold are merged into spans.  Windows
+that overlap a match of the allow-list (leftmost, non-overlapping matches) are suppressed; a pattern from
+^ to $ matches whole runs only.
 
 Positions are code points, the end is exclusive.  A null text counts as empty; an empty text, a
 table without rows, repeated rows and other columns of any name change nothing else: each row gets
@@ -65,7 +66,7 @@ ALLOWED = (
     r"^[0-9]+$",
     r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
     r"(?i)example|placeholder|changeme|redacted|dummy",
-    r"(?:00000000|11111111|99999999|aaaaaaaa|ffffffff|xxxxxxxx|XXXXXXXX|========|--------|________)",
+    r"(?:0{8,}|1{8,}|9{8,}|a{8,}|f{8,}|x{8,}|X{8,}|={8,}|-{8,}|_{8,})",
 )
 
 
@@ -156,11 +157,29 @@ def _entropy_spans(value: Column, kind: EntropyClass) -> Column:
     return let(codes, slide)
 
 
+def _between(run: Column, pattern: str, least: int) -> Column:
+    """The pieces of a run outside the matches of ``pattern`` that have at least ``least`` code points."""
+
+    def pieces(hits: Column) -> Column:
+        starts = F.concat(F.array(F.lit(0)), F.transform(hits, lambda h: h["end"]))
+        ends = F.concat(F.transform(hits, lambda h: h["start"]), F.array(F.length(run["value"])))
+        found = F.zip_with(
+            starts,
+            ends,
+            lambda a, b: F.struct(
+                (run["start"] + a).alias("start"), (run["start"] + b).alias("end"), F.substring(run["value"], a + 1, b - a).alias("value")
+            ),
+        )
+        return F.filter(found, lambda p: p["end"] - p["start"] >= least)
+
+    return F.when(run["value"].rlike(pattern), let(_matches(run["value"], pattern, 0, 1), pieces)).otherwise(F.array(run))
+
+
 def _entropy_kind(text: Column, kind: EntropyClass, allowed: tuple[str, ...]) -> Column:
     runs = _matches(text, f"{kind.letters}{{{kind.window},}}", 0, kind.window)
     if allowed:
         benign = "|".join(f"(?:{pattern})" for pattern in allowed)
-        runs = F.filter(runs, lambda x: ~x["value"].rlike(benign))
+        runs = F.flatten(F.transform(runs, lambda x: _between(x, benign, kind.window)))
     return F.flatten(
         F.transform(
             runs,
