@@ -15,7 +15,7 @@ from ..functions.wkt import polygon_wkt
 from ..operators import catalog, components, cook, cutouts, groups, merge, obs_queries, pairs, pixel_stats, regrid
 from ..operators.outline import outline, region_boxes, short_outlines
 from ..schema import OBS_SCALARS, PIXELS
-from ..session import materialize, scratch_path
+from ..session import materialize, materialize_counted, scratch_path
 from ..sources import generator, layout, observation_text, raster_binary, raster_text
 from ..streaming import cycles
 from ..streaming import pairs as pair_stream
@@ -556,17 +556,15 @@ def q2_image(sky: SkyTables) -> DataFrame:
 
 @query
 def q2_pieces(sky: SkyTables) -> DataFrame:
-    """Images dealt to three pieces; each numbers its observations in a block of ids of its own."""
-    found = [
-        cook.cook(
-            generator.piece(sky.pixels, 3, i, 0, round_robin=True, column="imageid"),
-            sky.images,
-            fx.LOW_THRESHOLD,
-            start_id=i * fx.ID_BLOCK + 1,
-            band_rows=fx.BAND_ROWS,
-        )
-        for i in range(3)
-    ]
+    """Images dealt to three pieces; each numbers its observations in blocks of ids of its own."""
+    found, start = [], 0
+    for i in range(3):
+        part = generator.piece(sky.pixels, 3, i, 0, round_robin=True, column="imageid")
+        obs = cook.cook(part, sky.images, fx.LOW_THRESHOLD, band_rows=fx.BAND_ROWS)
+        obs, seen = materialize_counted(obs, "piece")
+        found.append(obs.withColumn("obsid", F.col("obsid") + F.lit(start).cast("long")))
+        # A piece with more observations than a block takes as many blocks as it needs.
+        start += max(1, -(-seen["rows"] // fx.ID_BLOCK)) * fx.ID_BLOCK
     return _cooked_rows(merge.merge_pieces(found, ["obsid"]))
 
 
