@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, license_library, licenses, mixing, packing, quality, secrets, sharding, simhash, topk, toxicity
+from . import chat, clustering, histogram_packing, license_library, licenses, mixing, packing, quality, secrets, sharding, simhash, topk, toxicity
 from .common import read_table
 
 
@@ -59,6 +59,14 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digest(read_table(spark, sf_dir, "conversations"))
 
 
+def op11_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.clustering_digest(read_table(spark, sf_dir, "embeddings"))
+
+
+def op12_histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return histogram_packing.pack_planned(read_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 _QUERIES = [
     op1_secrets,
     op2_mixing,
@@ -70,6 +78,8 @@ _QUERIES = [
     op8_toxicity,
     op9_licenses,
     op10_chat,
+    op11_clustering,
+    op12_histogram_packing,
 ]
 
 
