@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, clustering, histogram_packing, license_library, licenses, mixing, packing, quality, secrets, sharding, simhash, topk, toxicity
+from . import chat, clustering, histogram_packing, license_library, licenses, mixing, packing, phrases, quality, secrets, sharding, simhash, topk, toxicity
 from .common import read_table
 
 
@@ -67,6 +67,10 @@ def op12_histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return histogram_packing.pack_planned(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.best_phrases(phrases.phrases(read_table(spark, sf_dir, "documents")))
+
+
 _QUERIES = [
     op1_secrets,
     op2_mixing,
@@ -80,6 +84,7 @@ _QUERIES = [
     op10_chat,
     op11_clustering,
     op12_histogram_packing,
+    op13_phrases,
 ]
 
 
