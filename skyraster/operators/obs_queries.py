@@ -43,14 +43,20 @@ def in_box(obs: DataFrame, box: tuple[int, int, int, int], time: int) -> DataFra
     )
 
 
+def radius_rect(cx: int, cy: int, dist: float) -> Rect:
+    """The smallest rectangle of whole coordinates around a circle."""
+    x, y = int(np.floor(cx - dist)), int(np.floor(cy - dist))
+    return x, int(np.ceil(cx + dist)) - x, y, int(np.ceil(cy + dist)) - y
+
+
 def in_radius(obs: DataFrame, cx: int, cy: int, time: int, dist: float) -> DataFrame:
     """Observations of one time within ``dist`` of a point."""
     dx = F.col("centerx").cast("long") - cx
     dy = F.col("centery").cast("long") - cy
+    near = point_in_rect(F.col("centerx"), F.col("centery"), radius_rect(cx, cy, dist))
     return obs.filter(
         (F.col("time") == time)
-        & F.col("centerx").between(int(np.floor(cx - dist)), int(np.ceil(cx + dist)))
-        & F.col("centery").between(int(np.floor(cy - dist)), int(np.ceil(cy + dist)))
+        & near
         & ((dx * dx + dy * dy).cast("double") <= float(dist) * float(dist))
     )
 

@@ -12,13 +12,15 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.geometry import Rect
 from ..functions.tiles import idiv, tile_of
 from ..operators.components import label_runs
 from ..operators.cook import observations_of
 from ..operators.groups import accumulate, group_summary, step_boxes
 from ..operators.pairs import motion_pairs
-from ..schema import PIXELS
+from ..schema import BOX, PIXELS
 from ..session import materialize, scratch_path
+from ..sources import box_layout
 from ..sources.generator import rescaled
 from ..sources.layout import read_raster, write_raster
 from ..sources.raster_text import image_name
@@ -191,6 +193,25 @@ class SkyTables:
     def stored_obs(self) -> DataFrame:
         return materialize(self.obs, "fixture-obs")
 
+    @cached_property
+    def obs_store(self) -> str:
+        """Observations by cycle, in the order of their place."""
+        path = scratch_path(self.spark, "fixture-obs-boxes")
+        box_layout.write_boxes(self.stored_obs, path, BOX, [("centerx", "centery")], ["cycle"])
+        return path
+
+    def obs_near(self, rect: Rect) -> DataFrame:
+        return box_layout.meeting(self.spark, self.obs_store, rect).select(*self.stored_obs.columns)
+
+    @cached_property
+    def groups_store(self) -> str:
+        path = scratch_path(self.spark, "fixture-group-boxes")
+        box_layout.write_boxes(self.stored_summary, path, ["minx", "miny", "maxx", "maxy"])
+        return path
+
+    def groups_near(self, rect: Rect) -> DataFrame:
+        return box_layout.meeting(self.spark, self.groups_store, rect)
+
     @cached_property
     def stored_raster(self) -> DataFrame:
         path = scratch_path(self.spark, "fixture-raster")

@@ -503,7 +503,9 @@ def oracle_sql() -> dict[str, str]:
         "stream_groups": s("members", "SELECT * FROM members"),
         "stream_pairs": s("pairs", "SELECT * FROM pairs"),
     }
-    out |= {f"{name}_stored": out[same] for name, same in (("q1", "q1_box"), ("q3", "q3_box"), ("q8", "q8"), ("q9", "q9"))}
+    out |= {f"{name}_stored": out[same] for name, same in (("q1", "q1_box"), ("q3", "q3_box"))}
+    of_slabs = "q4 q5 q7 q8 q9 obs_in_box obs_overlap_box groups_in_box obs_in_box_time obs_in_radius"
+    out |= {f"{name}_stored": out[name] for name in of_slabs.split()}
     out["gen_positions"] = "WITH e AS (SELECT event_id AS t FROM events)" + positions_body(
         "e", "(SELECT count(*) FROM e)", 7500, 31623, 1000000
     )

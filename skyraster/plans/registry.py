@@ -16,7 +16,7 @@ from ..operators import catalog, components, cook, cutouts, groups, merge, obs_q
 from ..operators.outline import outline, region_boxes, short_outlines
 from ..schema import OBS_SCALARS, PIXELS
 from ..session import materialize, materialize_counted, scratch_path
-from ..sources import generator, layout, observation_text, raster_binary, raster_text
+from ..sources import box_layout, generator, layout, observation_text, raster_binary, raster_text
 from ..streaming import cycles
 from ..streaming import pairs as pair_stream
 from . import fixtures as fx
@@ -291,6 +291,16 @@ def obs_in_box(sky: SkyTables) -> DataFrame:
     return obs_queries.obs_in_rect(sky.obs, SLAB).drop("polygon")
 
 
+@query
+def obs_in_box_stored(sky: SkyTables) -> DataFrame:
+    return obs_queries.obs_in_rect(sky.obs_near(SLAB), SLAB).drop("polygon")
+
+
+@query
+def obs_overlap_box_stored(sky: SkyTables) -> DataFrame:
+    return obs_queries.obs_overlapping(sky.obs_near(SLAB), SLAB).drop("polygon")
+
+
 @query
 def obs_overlap_box(sky: SkyTables) -> DataFrame:
     return obs_queries.obs_overlapping(sky.obs, SLAB).drop("polygon")
@@ -305,6 +315,11 @@ def groups_in_box(sky: SkyTables) -> DataFrame:
     return _inside(groups.group_summary(sky.stored_members, sky.stored_obs)).select("obsgroupid")
 
 
+@query
+def groups_in_box_stored(sky: SkyTables) -> DataFrame:
+    return _inside(sky.groups_near(SLAB)).select("obsgroupid")
+
+
 @query
 def obs_cutoff(sky: SkyTables) -> DataFrame:
     labelled = materialize(components.label_runs(sky.pixels, fx.LOW_THRESHOLD, band_rows=fx.BAND_ROWS), "labelled-runs")
@@ -322,6 +337,11 @@ def obs_in_box_time(sky: SkyTables) -> DataFrame:
     return obs_queries.in_box(sky.obs, (3000, 3000, 6000, 6000), 10).drop("polygon")
 
 
+@query
+def obs_in_box_time_stored(sky: SkyTables) -> DataFrame:
+    return obs_queries.in_box(sky.obs_near((3000, 3000, 3000, 3000)), (3000, 3000, 6000, 6000), 10).drop("polygon")
+
+
 # Aggregates ----------------------------------------------------------------------------------------------
 
 
@@ -360,6 +380,16 @@ def q5(sky: SkyTables) -> DataFrame:
     return obs_queries.q5(sky.obs, 2, "averageDist", SLAB).withColumn("average", F.round("average", 6))
 
 
+@query
+def q4_stored(sky: SkyTables) -> DataFrame:
+    return obs_queries.q4(sky.obs_near(SLAB), 2, "pixelSum", SLAB).withColumn("average", F.round("average", 6))
+
+
+@query
+def q5_stored(sky: SkyTables) -> DataFrame:
+    return obs_queries.q5(sky.obs_near(SLAB), 2, "averageDist", SLAB).withColumn("average", F.round("average", 6))
+
+
 @query
 def q6_grid(sky: SkyTables) -> DataFrame:
     return obs_queries.q6_grid(sky.obs, 2, 100, 5)
@@ -461,6 +491,12 @@ def obs_in_radius(sky: SkyTables) -> DataFrame:
     return obs_queries.in_radius(sky.obs, 5000, 5000, 10, 2000).drop("polygon")
 
 
+@query
+def obs_in_radius_stored(sky: SkyTables) -> DataFrame:
+    near = sky.obs_near(obs_queries.radius_rect(5000, 5000, 2000))
+    return obs_queries.in_radius(near, 5000, 5000, 10, 2000).drop("polygon")
+
+
 @query
 def similar_pairs(sky: SkyTables) -> DataFrame:
     return pairs.similar_pairs(sky.stored_obs, t=1, d2=1, d_radius=2, d_sum=1000)
@@ -628,6 +664,12 @@ def q7(sky: SkyTables) -> DataFrame:
     return groups.q7(sky.stored_members, sky.stored_obs, SLAB, sky.stored_summary)
 
 
+@query
+def q7_stored(sky: SkyTables) -> DataFrame:
+    """Groups and observations from the stored boxes that the slab meets."""
+    return groups.q7(sky.stored_members, sky.obs_near(SLAB), SLAB, sky.groups_near(SLAB))
+
+
 @query
 def time_index(sky: SkyTables) -> DataFrame:
     return obs_queries.time_index(sky.obs)
