@@ -6,21 +6,24 @@ advance by h, so an occurrence of a template lies inside some window.  Each of `
 gives a window its least shingle hash; a band of one row meets a template's with probability J, the
 Jaccard similarity.  A window that holds 4 in 5 of a template's shingles has J of 1/4 or more in every
 class, so all bands miss it with probability (3/4)^bands at most, 1e-4 for 32.  A band cannot be met
-without a shared shingle of five words, so candidates are few.
+without a shared shingle of five words, so every shingle is first looked up among those of all templates, and
+only windows that hold one are hashed, by these shingles alone: what a band would have met it still meets.
 
 Candidates are verified by their shingles as words, not hashes: the share of the template's distinct
 shingles that lie in the window must be 0.8 or more.  A licence may have several templates.  Of every
-(document, licence) the best window is reported, the longer and then the earlier of equals, from the first
-to the last shared shingle in code points.  Licences whose texts are alike, as versions of one are, meet
-in the same words: there the one with the greater containment is reported.
+(document, licence) all verified occurrences that do not overlap are reported, of overlapping ones that with the
+most shared shingles, from the first to the last of them in code points.  Licences whose texts are alike, as
+versions of one are, meet in the same words: there the one with the greater containment is reported.
 
 A null, empty or short text matches nothing but a template of fewer than five words that it equals as a
-whole sequence; repeated rows are reported each; rows of an empty table are none.
+whole sequence; repeated rows are reported each; rows of an empty table are none.  Only doc_id and text are read,
+so other columns may have any names.  A text is scanned whole, so the longest one bounds the memory of its task.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter, deque
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -81,6 +84,12 @@ def _shingles(words: list[str]) -> list[tuple[str, ...]]:
     return list(zip(*(words[i:] for i in range(width)), strict=False)) if width else []
 
 
+def _words(text: str) -> list[str]:
+    """Lower-cased words; a letter whose lower case is two characters does not move the words behind it."""
+    lower = text.lower()
+    return WORD.findall(lower) if len(lower) == len(text) else [w.lower() for w in WORD.findall(text)]
+
+
 @dataclass
 class Index:
     """MinHash tables of the templates, by length class."""
@@ -88,49 +97,67 @@ class Index:
     templates: Mapping[str, str | Sequence[str]]
     bands: int = 32
     containment: float = 0.8
-    shingles: dict[tuple[str, int], set] = field(default_factory=dict)
+    shingles: dict[tuple[str, int], Counter] = field(default_factory=dict)
     classes: dict[int, list] = field(default_factory=dict)
+    half_of: dict[tuple[str, int], int] = field(default_factory=dict)
 
     def __post_init__(self):
         self.a, self.b = _mix(self.bands)
         known: dict[str, int] = {}
         members: dict[int, list] = {}
+        every = [np.zeros(0, dtype=np.uint64)]
         texts = [(name, [text] if isinstance(text, str) else text) for name, text in self.templates.items()]
         for name, text in [((name, n), text) for name, own in texts for n, text in enumerate(own)]:
             words = WORD.findall(text.lower())
             if not words:
                 continue
-            self.shingles[name] = set(_shingles(words))
+            self.shingles[name] = Counter(_shingles(words))
             half = 1
             while 2 * half + 1 < len(words) - SHINGLE + 1:
                 half *= 2
-            members.setdefault(half, []).append((name, (self.a * _shingle_hashes(words, known) + self.b).min(axis=1)))
+            self.half_of[name] = half
+            every.append(_shingle_hashes(words, known))
+            members.setdefault(half, []).append((name, (self.a * every[-1] + self.b).min(axis=1)))
         for half, own in members.items():
             names, least = [n for n, _ in own], np.stack([m for _, m in own], axis=1)
             order = np.argsort(least, axis=1, kind="stable")
             self.classes[half] = [names, least, np.take_along_axis(least, order, axis=1), order]
+        #: All shingles of templates, and a bit for the upper 20 bits of each.
+        self.every = np.unique(np.concatenate(every))
+        self.bits = np.zeros(1 << 20, dtype=bool)
+        self.bits[self.every >> np.uint64(44)] = True
+
+    def hits(self, hashes: np.ndarray) -> np.ndarray:
+        """Positions of shingles that some template has."""
+        at = np.flatnonzero(self.bits[hashes >> np.uint64(44)])
+        if not len(at):
+            return at
+        near = np.minimum(np.searchsorted(self.every, hashes[at]), len(self.every) - 1)
+        return at[self.every[near] == hashes[at]]
 
     def candidates(self, hashes: np.ndarray) -> set[tuple[tuple[str, int], int, int]]:
-        """(template, first, last shingle position) of windows that meet a template in a band."""
-        found = set()
-        sizes = sorted(self.classes)
-        if not sizes:
+        """(template, first, last shingle position) of windows that meet a template in a band.
+
+        Only shingles of some template are hashed: a band is met by a shared shingle, so the others could only
+        hide one.
+        """
+        found, at = set(), self.hits(hashes)
+        if not len(at):
             return found
-        # A stretch ends with the windows that leave it; block borders are the same in all stretches.
-        stretch = max(128 * max(sizes), 2048)
-        for at in range(0, len(hashes), stretch):
-            part = hashes[at : at + stretch + 2 * max(sizes)]
-            half, block = 1, self.a * part + self.b
-            for size in sizes:
-                while half < size:  # blocks of the next class are pairs of these
-                    if block.shape[1] % 2:
-                        block = np.concatenate([block, block[:, -1:]], axis=1)
-                    half, block = 2 * half, np.minimum(block[:, 0::2], block[:, 1::2])
-                low = block.copy()
-                low[:, :-1] = np.minimum(low[:, :-1], block[:, 1:])
-                low[:, :-2] = np.minimum(low[:, :-2], block[:, 2:])
-                for name, window in self._met(size, low):
-                    found.add((name, at + window * half, at + (window + 3) * half))
+        values = self.a * hashes[at] + self.b
+        none = np.full((self.bands, 1), np.iinfo(np.uint64).max, dtype=np.uint64)
+        for half in sorted(self.classes):
+            blocks, first = np.unique(at // half, return_index=True)
+            least = np.concatenate([np.minimum.reduceat(values, first, axis=1), none], axis=1)
+            windows = np.unique(np.concatenate([blocks, blocks - 1, blocks - 2]))
+            windows = windows[windows >= 0]
+            low = none
+            for step in range(3):
+                place = np.searchsorted(blocks, windows + step)
+                held = np.append(blocks, -1)[place] == windows + step
+                low = np.minimum(low, least[:, np.where(held, place, len(blocks))])
+            for name, window in self._met(half, low):
+                found.add((name, int(windows[window]) * half, (int(windows[window]) + 3) * half))
         return found
 
     def _met(self, size: int, low: np.ndarray) -> Iterator[tuple[tuple[str, int], int]]:
@@ -149,29 +176,68 @@ class Index:
                     yield names[order[band][n]], int(window)
                     n += 1
 
+    def occurrences(self, name: tuple[str, int], places: list[int], grams: list[tuple[str, ...]]) -> Iterator[tuple[int, float, int, int]]:
+        """(shared shingles, containment, first, last) of the template's verified occurrences, none inside another.
+
+        ``places`` are the positions of its shingles.  An occurrence ends where a shingle comes once more than in the
+        template after enough of them, or where the next one lies beyond a window.
+        """
+        wanted, reach = self.shingles[name], 3 * self.half_of[name]
+        least = self.containment * len(wanted)
+        own: deque[int] = deque()
+        times: Counter = Counter()  # without zeros, so its length is the number of distinct shingles
+
+        def shorter() -> None:
+            gram = grams[own.popleft()]
+            times[gram] -= 1
+            if not times[gram]:
+                del times[gram]
+
+        def told() -> tuple[int, float, int, int]:
+            while times[grams[own[0]]] > wanted[grams[own[0]]]:
+                shorter()
+            out = len(times), len(times) / len(wanted), own[0], own[-1]
+            own.clear()
+            times.clear()
+            return out
+
+        for at in places:
+            if len(times) >= least and (times.get(grams[at], 0) >= wanted[grams[at]] or at - own[0] >= reach):
+                yield told()
+            while own and at - own[0] >= reach:
+                shorter()
+            own.append(at)
+            times[grams[at]] += 1
+        if len(times) >= least:
+            yield told()
+
     def matches(self, text: str, known: dict[str, int]) -> list[tuple[str, float, int, int]]:
-        words = WORD.findall(text.lower())
+        words = _words(text)
         if not words:
             return []
         hits = self.candidates(_shingle_hashes(words, known))
         if not hits:
             return []
         grams = _shingles(words)
-        spans = [m.span() for m in WORD.finditer(text.lower())]
-        found: dict[str, list[tuple]] = {}
-        for name, first, last in sorted(hits):
+        spans = [m.span() for m in WORD.finditer(text)]
+        windows: dict[tuple[str, int], set[int]] = {}
+        for name, first, last in hits:
             wanted = self.shingles[name]
-            shared = [i for i in range(first, min(last, len(grams))) if grams[i] in wanted]
-            share = len({grams[i] for i in shared}) / len(wanted)
-            if share >= self.containment:
-                end = spans[min(shared[-1] + SHINGLE, len(spans)) - 1][1]
-                found.setdefault(name[0], []).append((share, spans[shared[0]][0], end))
-        every = [(name, *one) for name, own in found.items() for one in own]
+            windows.setdefault(name, set()).update(i for i in range(first, min(last, len(grams))) if grams[i] in wanted)
+        found: dict[str, list[tuple]] = {}
+        for name, places in windows.items():
+            for count, share, first, last in self.occurrences(name, sorted(places), grams):
+                end = spans[min(last + SHINGLE, len(spans)) - 1][1]
+                found.setdefault(name[0], []).append((count, share, spans[first][0], end))
+        every = [(name, *one[1:]) for name, own in found.items() for one in own]
         out = []
         for name, own in sorted(found.items()):
-            own = [one for one in own if not any(_outdoes(other, name, one) for other in every)]
-            if own:
-                out.append((name, *max(own, key=lambda one: (one[0], one[2] - one[1], -one[1]))))
+            taken: list[tuple] = []
+            for _, *one in sorted(own, key=lambda one: (-one[0], -one[1], one[2], one[3])):
+                apart = all(one[2] <= start or one[1] >= end for _, start, end in taken)
+                if apart and not any(_outdoes(other, name, tuple(one)) for other in every):
+                    taken.append(tuple(one))
+            out += [(name, *one) for one in sorted(taken, key=lambda one: one[1:])]
         return out
 
 
@@ -188,7 +254,7 @@ def scan_licenses(
     bands: int = 32,
     containment: float = 0.8,
 ) -> DataFrame:
-    """(doc_id, license, containment, window_start, window_end) of every license found in a text.
+    """(doc_id, license, containment, window_start, window_end) of every occurrence of a license in a text.
 
     ``templates`` has a text or several texts of each license.
     """

@@ -39,3 +39,47 @@ def test_notices_and_whole_texts(spark):
         assert len(own) == len(set(own)) and names <= set(own), (i, names, own)
         if i < len(NOTICES):
             assert set(own) == names, (i, own)
+
+
+def test_whole_library_on_a_table(spark):
+    """Every template against every whole text."""
+    library = license_library.library()
+    grams_of = lambda text: set(licenses._shingles(licenses.WORD.findall(text.lower())))
+    templates = [(name, grams_of(t)) for name, own in library.items() for t in ([own] if isinstance(own, str) else own)]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    holders: dict = {}
+    for n, (_, wanted) in enumerate(templates):
+        for g in wanted:
+            holders.setdefault(g, []).append(n)
+    expected: dict = {}
+    for r in docs.collect():
+        shared: dict = {}
+        for g in grams_of(r.text or ""):
+            for n in holders.get(g, ()):
+                shared[n] = shared.get(n, 0) + 1
+        for n, count in shared.items():
+            name, wanted = templates[n]
+            if count >= 0.8 * len(wanted):
+                expected.setdefault(r.doc_id, {}).setdefault(name, 0)
+                expected[r.doc_id][name] = max(expected[r.doc_id][name], count / len(wanted))
+    got: dict = {}
+    for r in licenses.scan_licenses(docs, library).collect():
+        got.setdefault(r.doc_id, {}).setdefault(r.license, 0)
+        got[r.doc_id][r.license] = max(got[r.doc_id][r.license], r.containment)
+    assert got.keys() == expected.keys() and got
+    for doc_id, own in expected.items():
+        assert got[doc_id].items() <= own.items()
+        for name in own.keys() - got[doc_id].keys():  # outdone by a licence with alike words
+            assert max(got[doc_id].values()) > own[name]
+
+
+def test_all_occurrences(spark):
+    notice = "Released under the MIT License."
+    apart = " ".join(f"w{i}" for i in range(40))
+    text = f"İİİ {notice} {notice} {apart} {notice} İ {apart} released under the mit license"
+    rows = licenses.scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string"), license_library.library()).collect()
+    found = sorted((r.window_start, r.window_end) for r in rows)
+    assert [text[a:b].lower() for a, b in found] == ["released under the mit license"] * 4
+    bsd = licenses.TEMPLATES["bsd"]
+    rows = licenses.scan_licenses(spark.createDataFrame([(1, f"{bsd}; {bsd} {apart} {bsd}")], "doc_id long, text string")).collect()
+    assert sorted(r.window_start for r in rows) == [0, len(bsd) + 2, 2 * len(bsd) + len(apart) + 4] and {r.containment for r in rows} == {1.0}
