@@ -7,7 +7,9 @@ and groups never merge, so the result does not depend on the order of work.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import Rect, box_inside, point_in_rect
@@ -16,6 +18,10 @@ from ..session import materialize, materialize_counted
 
 #: Pairs followed per job while groups grow.
 HOPS_PER_ROUND = 4
+#: Times that are swept together where pairs carry times.
+STEPS_PER_SLICE = 4
+#: Slices that pairs may reach without their ends being written on the way.
+NEAR_SLICES = 2
 #: Observation ids of one time are split into slices of this many ids for ordering.
 SLICE_IDS = 65_536
 
@@ -29,6 +35,9 @@ def accumulate(
 ) -> DataFrame:
     """Membership table (obsgroupid, obsid) of all groups that ``pairs`` form.
 
+    Pairs that carry times (new_time, existing_time) are followed in one sweep over time, see :func:`_swept`; others
+    in rounds of ``hops`` steps.
+
     ``members`` holds existing groups: an observation that already has groups passes those on
     instead of starting one, and the result contains old and new rows (``only_new``: new rows
     only).  ``singletons_of`` also gives a group of its own to each of its observations that has no predecessor.
@@ -36,6 +45,8 @@ def accumulate(
     Only memberships found in the last round are extended.  Each round is written to the shared
     folder; known rows are never rewritten.
     """
+    if {"new_time", "existing_time"} <= set(pairs.columns):
+        return _swept(pairs, members, singletons_of, only_new)
     edges = materialize(
         pairs.select(F.col("new_obsid").cast("long"), F.col("existing_obsid").cast("long")), "edges"
     )
@@ -79,6 +90,83 @@ def accumulate(
         frontier = found.filter(F.col("hop") == hops).select("obsgroupid", "obsid")
 
 
+def _swept(
+    pairs: DataFrame,
+    members: DataFrame | None,
+    singletons_of: DataFrame | None,
+    only_new: bool,
+    steps: int = STEPS_PER_SLICE,
+) -> DataFrame:
+    """Groups by one sweep over slices of ``steps`` times.
+
+    A pair leads to a later time, so all memberships of a slice are known once the slices before it are done.  They
+    are its roots and what earlier slices have sent, followed along the pairs inside of the slice (fewer than
+    ``steps`` hops); what is found is sent once along the pairs that leave the slice, in folders by the slice they lead
+    to; where pairs reach ``NEAR_SLICES`` slices at most, the slice they lead to does that join instead.  So a membership takes part in a fixed number of joins however long its group is, is compared with others of
+    its own slice only, and a slice is never read again.
+    """
+
+    def slice_of(time: str) -> Column:
+        return F.floor(F.col(time) / F.lit(steps)).cast("int")
+
+    edges = pairs.select(
+        F.col("new_obsid").cast("long"),
+        F.col("existing_obsid").cast("long"),
+        slice_of("existing_time").alias("source"),
+        slice_of("new_time").alias("target"),
+        (F.col("existing_time") >= F.col("new_time")).cast("int").alias("back"),
+    ).repartitionByRange("source", "existing_obsid")
+    seen_of = {
+        "first": F.min("source"), "last": F.max("target"), "back": F.max("back"), "reach": F.max(F.col("target") - F.col("source")),
+    }
+    edges, seen = materialize_counted(edges, "edges", seen_of, partition_by=["source"])
+    if seen["back"]:
+        raise ValueError("a pair must lead from an earlier time to a later one")
+    heads = edges.groupBy(F.col("existing_obsid").alias("obsid")).agg(F.min("source").alias("source"))
+    if singletons_of is not None:
+        alone = singletons_of.select(F.col("obsid").cast("long"), F.lit(None).cast("int").alias("source"))
+        heads = heads.unionByName(alone).groupBy("obsid").agg(F.min("source").alias("source"))
+    roots = heads.join(edges.select(F.col("new_obsid").alias("obsid")), "obsid", "left_anti")
+    sent: list[tuple[int | None, DataFrame]] = []
+    if members is not None:
+        members = members.select(F.col("obsgroupid").cast("long"), F.col("obsid").cast("long"))
+        roots = roots.join(members.select("obsid"), "obsid", "left_anti")
+        old = members.join(edges, members["obsid"] == edges["existing_obsid"])
+        old = old.select("obsgroupid", F.col("new_obsid").alias("obsid"), "target").distinct()
+        sent.append((None, materialize(old, "group-sent", partition_by=["target"])))
+    roots = materialize(roots.select(F.col("obsid").alias("obsgroupid"), "obsid", "source"), "group-roots")
+    pair = ["obsgroupid", "obsid"]
+    found = [roots.filter(F.col("source").isNull()).select(*pair)]
+    for now in range(seen["first"], seen["last"] + 1) if seen["rows"] else ():
+        start = roots.filter(F.col("source") == now).select(*pair)
+        for origin, rows in sent:
+            if origin is None or now - origin <= seen["reach"]:
+                start = start.unionByName(rows.filter(F.col("target") == now).select(*pair))
+        own = edges.filter(F.col("source") == now)
+        inner = own.filter(F.col("target") == now).select("existing_obsid", "new_obsid")
+        step = reached = start.distinct()
+        for _ in range(steps - 1):
+            step = step.join(inner, step["obsid"] == inner["existing_obsid"])
+            step = step.select("obsgroupid", F.col("new_obsid").alias("obsid")).distinct()
+            reached = reached.unionByName(step)
+        reached, size = materialize_counted(reached.distinct(), "group-slice")
+        if not size["rows"]:
+            continue
+        found.append(reached)
+        if now < seen["last"] and seen["reach"]:
+            leaving = own.filter(F.col("target") > now)
+            onward = reached.join(leaving, reached["obsid"] == leaving["existing_obsid"])
+            onward = onward.select("obsgroupid", F.col("new_obsid").alias("obsid"), "target")
+            if seen["reach"] > NEAR_SLICES:
+                onward = materialize(onward.distinct(), "group-sent", partition_by=["target"])
+            sent.append((now, onward))
+    added = reduce(DataFrame.unionByName, found)
+    if members is None:
+        return added
+    added = materialize(added.join(members, pair, "left_anti"), "group-added")
+    return added if only_new else members.unionByName(added)
+
+
 def groups_of(members: DataFrame, ids: DataFrame) -> DataFrame:
     """Groups of the given observations, one row per (obsid, obsgroupid)."""
     return members.join(ids.select("obsid").distinct(), "obsid", "left_semi").select("obsid", "obsgroupid").distinct()

@@ -3,17 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import Rect, box_inside, box_overlaps, point_in_rect
 from ..functions.ordinals import running_total
 from ..functions.tiles import cell_of
-from .gridjoin import GridDim, grid_join
-
-#: Largest density box counted on dense tiles; wider boxes use the weighted grid join.
-MAX_TILE_BOX = 2048
+from .dominance import box_sums
 
 
 def _bbox(prefix: str = "") -> list:
@@ -90,50 +86,12 @@ def q6_grid(obs: DataFrame, cycle: int, box: int, threshold: int) -> DataFrame:
     )
 
 
-def _window_sums(half: int, side: int):
-    """Box sums of one square tile of ``side`` coordinates with a halo of ``half`` around it.
-
-    Points of a tile are distinct coordinates with a weight, so the group is bounded by the tile
-    area however crowded the sky is.  A crowded tile is answered from a summed-area table in
-    constant time per point; a tile with few points compares them directly, which is less work
-    than filling the table.
-    """
-    span = side + 2 * half
-
-    def sums(key: tuple, points: pa.Table) -> pa.Table:
-        px, py = points.column("px").to_numpy(), points.column("py").to_numpy()
-        weight = points.column("weight").to_numpy()
-        x = px - key[0].as_py() * side + half
-        y = py - key[1].as_py() * side + half
-        own = (x >= half) & (x < half + side) & (y >= half) & (y < half + side)
-        ox, oy = x[own], y[own]
-        if len(ox) * len(x) <= span * span:
-            near = (np.abs(ox[:, None] - x) <= half) & (np.abs(oy[:, None] - y) <= half)
-            counts = near @ weight
-        else:
-            table = np.zeros((span + 1, span + 1), dtype=np.int64)
-            table[y + 1, x + 1] = weight
-            np.cumsum(table, axis=0, out=table)
-            np.cumsum(table, axis=1, out=table)
-            counts = (
-                table[oy + half + 1, ox + half + 1]
-                - table[oy - half, ox + half + 1]
-                - table[oy + half + 1, ox - half]
-                + table[oy - half, ox - half]
-            )
-        return pa.table(
-            {"px": pa.array(px[own], pa.int32()), "py": pa.array(py[own], pa.int32()), "n": pa.array(counts, pa.int64())}
-        )
-
-    return sums
-
-
 def q6_neighbours(obs: DataFrame, cycle: int, box: int, threshold: int, rect: Rect | None = None) -> DataFrame:
     """Centres of a slab and cycle that have at least ``threshold`` centres of the same selection
     (themselves included) within ``box``/2, integer half, on both axes.
 
-    Centres are first collapsed to distinct coordinates with a count, then counted per tile, so the
-    work stays linear where a pair join would square the population of a crowded cell.
+    Centres are first collapsed to distinct coordinates with a count, then counted by sums over strips (see
+    :mod:`.dominance`), so the cost depends neither on the box nor on how crowded the sky is.
     """
     chosen = obs.filter(F.col("cycle") == cycle)
     if rect is not None:
@@ -142,24 +100,7 @@ def q6_neighbours(obs: DataFrame, cycle: int, box: int, threshold: int, rect: Re
     points = chosen.groupBy(F.col("centerx").alias("px"), F.col("centery").alias("py")).agg(
         F.count(F.lit(1)).alias("weight")
     )
-    if box <= MAX_TILE_BOX:
-        side = max(1024, 2 * half)
-        halo = (
-            points.withColumn(
-                "tx", F.explode(F.sequence(cell_of(F.col("px") - half, side), cell_of(F.col("px") + half, side)))
-            ).withColumn(
-                "ty", F.explode(F.sequence(cell_of(F.col("py") - half, side), cell_of(F.col("py") + half, side)))
-            )
-        )
-        counts = halo.groupBy("tx", "ty").applyInArrow(_window_sums(half, side), "px int, py int, n long")
-    else:
-        other = points.select(F.col("px").alias("qx"), F.col("py").alias("qy"), F.col("weight").alias("qweight"))
-        dims = [
-            GridDim(F.col("px") - half, F.col("px") + half, F.col("qx"), box + 1),
-            GridDim(F.col("py") - half, F.col("py") + half, F.col("qy"), box + 1),
-        ]
-        near = (F.abs(F.col("px") - F.col("qx")) <= half) & (F.abs(F.col("py") - F.col("qy")) <= half)
-        counts = grid_join(points, other, dims, near).groupBy("px", "py").agg(F.sum("qweight").alias("n"))
+    counts = box_sums(points, half)
     dense = counts.filter(F.col("n") >= threshold)
     return chosen.join(
         dense, (F.col("centerx") == F.col("px")) & (F.col("centery") == F.col("py"))

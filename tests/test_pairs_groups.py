@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from skyraster.functions.ordinals import running_offset
 from skyraster.operators.cook import obs_vertices
 from skyraster.operators.gridjoin import GridDim, grid_join
-from skyraster.operators.groups import accumulate, center_traj, group_members, polygon_traj
+from skyraster.operators import groups
+from skyraster.operators.groups import _swept, accumulate, center_traj, group_members, polygon_traj
 from skyraster.operators.obs_queries import q6_neighbours
 from skyraster.operators.pairs import BAND_GROWTH, motion_pairs, similar_pairs, step_bands
 from skyraster.session import materialize
@@ -92,7 +93,7 @@ def test_grid_join_with_equal_key_and_slices(spark):
 
 @pytest.mark.parametrize("box,threshold", [(20, 4), (41, 9), (2500, 300)])
 def test_neighbours(obs, crowd, box, threshold):
-    """Dense tiles and, for the widest box, the weighted join."""
+    """Small boxes and one as wide as the sky."""
     half = box // 2
     counts = {
         a[0]: sum(abs(a[3] - b[3]) <= half and abs(a[4] - b[4]) <= half for b in crowd) for a in crowd
@@ -138,6 +139,47 @@ def test_groups_long_chain(spark):
     assert members_of(accumulate(frame)) == {(0, i) for i in range(26)}
 
 
+def timed(spark, pairs, times):
+    rows = [(a, b, times[a], times[b]) for a, b in pairs]
+    return spark.createDataFrame(rows, "new_obsid long, existing_obsid long, new_time int, existing_time int")
+
+
+@pytest.mark.parametrize("seed,steps", [(1, 1), (2, 2), (3, 5), (4, 50)])
+def test_groups_by_a_sweep_in_time(spark, seed, steps):
+    pairs, times = random_pairs(seed, 60, 120)
+    frame = timed(spark, pairs, times)
+    assert members_of(_swept(frame, None, None, False, steps)) == grow_groups(pairs, times)
+    everything = spark.createDataFrame([(i,) for i in times], "obsid long")
+    alone = {(i, i) for i in times} - {(a, a) for a, _ in pairs}
+    assert members_of(_swept(frame, None, everything, False, steps)) == grow_groups(pairs, times) | alone
+    members = known = None
+    for low, high in ((0, 5), (5, 8), (8, 12)):
+        part = timed(spark, [p for p in pairs if low <= times[p[0]] < high], times)
+        new = members_of(_swept(part, members, None, True, steps))
+        assert known is None or not new & known
+        members = _swept(part, members, None, False, steps)
+        known = members_of(members)
+    assert known == grow_groups(pairs, times)
+
+
+def test_a_sweep_needs_times_in_order(spark):
+    with pytest.raises(ValueError):
+        accumulate(timed(spark, [(1, 2)], {1: 4, 2: 4}))
+    assert accumulate(timed(spark, [(1, 2)], {1: 4, 2: 3}).limit(0)).count() == 0
+
+
+def test_a_sweep_joins_a_membership_a_fixed_number_of_times(spark, monkeypatch):
+    """Rows written while groups grow are in proportion to the memberships, whatever the length of the chain."""
+    written = []
+    counted = groups.materialize_counted
+    monkeypatch.setattr(groups, "materialize_counted", lambda *a, **k: (lambda out: (written.append(out[1]["rows"]), out)[1])(counted(*a, **k)))
+    monkeypatch.setattr(groups, "materialize", lambda *a, **k: groups.materialize_counted(*a, **k)[0])
+    pairs = [(i + 1 + 1000 * k, i + 1000 * k) for i in range(39) for k in range(3)]
+    members = members_of(accumulate(timed(spark, pairs, {i + 1000 * k: i for i in range(40) for k in range(3)})))
+    assert members == {(1000 * k, i + 1000 * k) for i in range(40) for k in range(3)}
+    assert sum(written) <= 3 * len(members)
+
+
 def test_groups_in_steps_equal_one_shot(spark):
     pairs, times = random_pairs(7, 80, 160)
     schema = "new_obsid long, existing_obsid long"
