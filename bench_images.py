@@ -53,8 +53,8 @@ def main() -> None:
     def consume(frame) -> None:
         frame.write.format("noop").mode("overwrite").save()
 
-    rows = sky.tile_rows
-    pixels = generator.gen_pixels(corners, sky.base_tiles, side, fx.COLUMNS, rows, fx.X_REPEAT, rows + fx.GAP_Y, tasks=64)
+    rows, tiles = fx.TILE_ROWS, sky.base_tiles.filter("tile_set = 0").drop("tile_set")
+    pixels = generator.gen_pixels(corners, tiles, side, fx.COLUMNS, rows, fx.X_REPEAT, rows + fx.GAP_Y, tasks=64)
     clock("generate_and_store", lambda: layout.write_raster(pixels, catalog, f"{target}/raster"))
     raster = layout.read_raster(spark, f"{target}/raster")
     for name, run in {

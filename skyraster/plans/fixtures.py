@@ -30,8 +30,11 @@ ROWS = 100
 COLUMNS = 64
 WORLD = 1000
 IMAGE_SIDE = 100
-IMAGE_RANGE = 120
+IMAGE_RANGE = 900
 X_REPEAT = 70
+# Rows of a base tile; ten tiles are a set, and ten images are made of each set.
+TILE_ROWS = 50
+SET_IMAGES = 10
 GAP_Y = 10
 # Small bands, so that regions cross their borders.
 BAND_ROWS = 32
@@ -159,22 +162,15 @@ class SkyTables:
             "cycle",
         )
 
-    @property
-    def vectors(self) -> int:
-        return self.table("embeddings").count()
-
-    @property
-    def tile_rows(self) -> int:
-        """Height of a base tile: the vectors are dealt to the ten tiles in turn."""
-        return self.vectors // 10
-
     @property
     def base_tiles(self) -> DataFrame:
+        """Vectors dealt to the ten tiles of a set in turn; the last set may lack rows, which are 0."""
         value = F.greatest(F.least(F.floor((F.col("v").cast("double") + F.lit(0.6)) * F.lit(20000.0)), F.lit(65535)), F.lit(0))
         return self.table("embeddings").select("vec_id", F.posexplode("embedding").alias("tx", "v")).select(
+            idiv(F.col("vec_id"), 10 * TILE_ROWS).cast("int").alias("tile_set"),
             (F.col("vec_id") % 10).cast("int").alias("tile_num"),
             F.col("tx"),
-            idiv(F.col("vec_id"), 10).cast("int").alias("ty"),
+            idiv(F.col("vec_id") % (10 * TILE_ROWS), 10).cast("int").alias("ty"),
             value.cast("int").alias("pix"),
         )
 

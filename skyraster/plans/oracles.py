@@ -279,17 +279,17 @@ FROM (SELECT t, 3 * CASE WHEN t >= total // 2 THEN t - total // 2 ELSE t END AS
 
 
 cte("image_times", "", "SELECT DISTINCT vec_id // 50 AS t FROM embeddings")
-cte("corners", "image_times", positions_body("image_times", "(SELECT count(*) FROM image_times)", 100, 120, 1000))
+cte("corners", "image_times", positions_body("image_times", "(SELECT count(*) FROM image_times)", 100, 900, 1000))
 cte("drawn", "corners base_px", """
 SELECT t, x, y, wx, wy, inside, CASE WHEN inside THEN coalesce(pix, 0) ELSE 0 END AS raw
-FROM (SELECT t, x, y, wx, wy, wx % 70 AS tx, wy % (rows + 10) AS ty, wx % 70 < 64 AND wy % (rows + 10) < rows AS inside,
+FROM (SELECT t, x, y, wx, wy, wx % 70 AS tx, wy % 60 AS ty, wx % 70 < 64 AND wy % 60 < 50 AS inside, t // 10 AS tile_set,
              substr('31415926535897932384626433832795028841971693993751058209749445923078164062862089986280348253421170679',
-                    ((wx // 70 + (wy // (rows + 10)) * (1000 // 70 + 1)) % 101 + 1)::INTEGER, 1)::INTEGER AS tile_num
+                    ((wx // 70 + (wy // 60) * (1000 // 70 + 1)) % 101 + 1)::INTEGER, 1)::INTEGER AS tile_num
       FROM (SELECT t, a.v AS x, b.v AS y, a.v + greatest(0, c.x + t % 3 - 1) AS wx,
                    b.v + greatest(0, c.y + (t // 3) % 3 - 1) AS wy
-            FROM corners c, range(0, 100) a(v), range(0, 100) b(v)),
-           (SELECT count(*) // 10 AS rows FROM embeddings)) s
-LEFT JOIN (SELECT vec_id % 10 AS tile_num, x AS tx, vec_id // 10 AS ty, pix FROM base_px) b USING (tile_num, tx, ty)""")
+            FROM corners c, range(0, 100) a(v), range(0, 100) b(v))) s
+LEFT JOIN (SELECT vec_id // 500 AS tile_set, vec_id % 10 AS tile_num, x AS tx, vec_id % 500 // 10 AS ty, pix FROM base_px) b
+  USING (tile_set, tile_num, tx, ty)""")
 cte("generated", "drawn", f"""
 SELECT t::INTEGER AS imageid, ((y // 100) * 1000 + x // 100)::INTEGER AS tile, x::INTEGER AS x, y::INTEGER AS y, pix,
        trunc(sqrt(pix))::INTEGER AS var, (CASE WHEN inside THEN 1 ELSE 0 END)::INTEGER AS valid,

@@ -99,9 +99,10 @@ def images_by_cycle(sky: SkyTables) -> DataFrame:
 
 @query
 def gen_pixels(sky: SkyTables) -> DataFrame:
-    rows = sky.tile_rows
+    """Every ten images are made of the tiles of one set, so a longer table has more sets, not rows that no image can meet."""
+    corners = _corners(sky).withColumn("tile_set", F.floor(F.col("t") / fx.SET_IMAGES).cast("int"))
     return generator.gen_pixels(
-        _corners(sky), sky.base_tiles, fx.IMAGE_SIDE, fx.COLUMNS, rows, fx.X_REPEAT, rows + fx.GAP_Y, fx.WORLD
+        corners, sky.base_tiles, fx.IMAGE_SIDE, fx.COLUMNS, fx.TILE_ROWS, fx.X_REPEAT, fx.TILE_ROWS + fx.GAP_Y, fx.WORLD
     )
 
 

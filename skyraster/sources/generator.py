@@ -1,4 +1,4 @@
-"""Synthetic images as a pure function of (x, y, t) and ten base tiles."""
+"""Synthetic images as a pure function of (x, y, t) and sets of ten base tiles."""
 
 from __future__ import annotations
 
@@ -29,6 +29,8 @@ NOISE = [(0, 65535), (32768, 32768), (-500_000_000, 1_000_000), (0, 10), (1000,
 NOISE_SEEDS = 65359
 MAX_PIX = 65535
 CENTRAL_SHARE = 0.8
+#: Pixels that one task generates, about.
+PIXELS_PER_TASK = 4_000_000
 
 
 def positions(times: DataFrame, total: int, side: int, range_: int, world: int = WORLD_SIZE) -> DataFrame:
@@ -77,11 +79,11 @@ def noise_table(frame: DataFrame) -> DataFrame:
 
 def _tile_rows(tiles: DataFrame, x_size: int) -> DataFrame:
     """Base tiles as one array of ``x_size`` pixel values per tile row; missing pixels are 0."""
-    rows = tiles.groupBy("tile_num", "ty").agg(F.sort_array(F.collect_list(F.struct("tx", "pix"))).alias("_row"))
+    rows = tiles.groupBy("tile_set", "tile_num", "ty").agg(F.sort_array(F.collect_list(F.struct("tx", "pix"))).alias("_row"))
     known = F.map_from_entries("_row")
     spread = F.transform(F.sequence(F.lit(0), F.lit(x_size - 1)), lambda i: F.coalesce(F.try_element_at(known, i), F.lit(0)))
     dense = F.col("_row")["pix"]
-    return rows.select("tile_num", "ty", F.when(F.size("_row") == x_size, dense).otherwise(spread).alias("_row"))
+    return rows.select("tile_set", "tile_num", "ty", F.when(F.size("_row") == x_size, dense).otherwise(spread).alias("_row"))
 
 
 def gen_pixels(
@@ -99,13 +101,20 @@ def gen_pixels(
 ) -> DataFrame:
     """All pixels of the images in ``corners`` (t, x, y), from ``tiles`` (tile_num, tx, ty, pix).
 
+    With a column ``tile_set`` in both, an image is made of the tiles of its own set.
+
     An image row is cut where the base tile changes.  These segments, not pixels, are joined with
     the tile rows, and are expanded to pixels behind the join: what is shuffled is a few dozen bytes
-    per segment.  ``tasks`` is a stated number of partitions (default: the session's shuffle
-    partitions), because adaptive execution would merge them by the size of the segments.
+    per segment.  ``tasks`` is a stated number of partitions (default: by the number of pixels, but not fewer than
+    the session's shuffle partitions), because adaptive execution would merge them by the size of the segments.
     """
-    tasks = tasks or int(corners.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if tasks is None:
+        least = int(corners.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        tasks = max(least, -(-corners.count() * side * side // PIXELS_PER_TASK))
+    if "tile_set" not in corners.columns:
+        corners, tiles = (frame.withColumn("tile_set", F.lit(0)) for frame in (corners, tiles))
     rows = corners.select(
+        "tile_set",
         F.col("t").cast("long").alias("t"),
         _shifted(F.col("x"), F.col("t") % 3).alias("_x0"),
         _shifted(F.col("y"), idiv(F.col("t"), 3) % 3).alias("_y0"),
@@ -122,10 +131,10 @@ def gen_pixels(
     )
     segments = segments.withColumn(
         "tile_num", F.substring(F.lit(TILE_SEQUENCE), (F.col("_place") + 1).cast("int"), F.lit(1)).cast("int")
-    ).repartition(tasks, "tile_num", "ty")
+    ).repartition(tasks, "tile_set", "tile_num", "ty")
     base = _tile_rows(tiles.filter((F.col("tx") < x_size) & (F.col("ty") < y_size)), x_size)
     spots = (
-        segments.join(base, ["tile_num", "ty"], "left")
+        segments.join(base, ["tile_set", "tile_num", "ty"], "left")
         .withColumn("_wx", F.explode(F.sequence("_from", "_to")))
         .withColumns(
             {"x": (F.col("_wx") - F.col("_x0")).cast("int"), "tx": (F.col("_wx") - F.col("_column") * x_repeat).cast("int")}
