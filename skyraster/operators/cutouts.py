@@ -7,12 +7,16 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import Rect, box_inside, box_overlaps, point_in_rect
 from ..functions.tiles import TILE_RATIO, TILE_SIZE, band_of, idiv
-from ..session import materialize
+from ..session import materialize, materialize_counted
 from .catalog import images_in_slab
 from .gridjoin import GridDim, grid_join
 from .groups import group_summary, members_of, step_boxes
 
 BOX = ["minx", "miny", "maxx", "maxy"]
+#: A cell that makes more windows than the square of this is dealt to several tasks.
+HOT_ROWS = 256
+#: So many windows on one tile are joined with its pixels in one task.
+TILE_WINDOWS = 4096
 
 
 def obs_union(from_groups: DataFrame, from_slab: DataFrame) -> DataFrame:
@@ -42,9 +46,13 @@ def select_q9(members: DataFrame, obs: DataFrame, t: int, rect: Rect, steps: Dat
 
 def _centres_in_images(centres: DataFrame, images: DataFrame, dist: int, cell: int) -> DataFrame:
     """(obsid, imageid) of every image whose margin-expanded extent holds the centre, with the
-    centre in image coordinates (lx, ly) and the image size."""
+    centre in image coordinates (lx, ly) and the image size.
+
+    A crowded cell, as the centre of the sky that most images cover, is cut into slices of centres and of images, so
+    that a task makes ``HOT_ROWS`` squared windows of it at most.
+    """
     frames = images.select("imageid", "xstart", "ystart", "xend", "yend")
-    points = centres.select("obsid", "centerx", "centery")
+    points = materialize(centres.select("obsid", "centerx", "centery"), "cutout-centres")
     dims = [
         GridDim(F.col("xstart") - dist, F.col("xend") + dist, F.col("centerx"), cell),
         GridDim(F.col("ystart") - dist, F.col("yend") + dist, F.col("centery"), cell),
@@ -52,7 +60,7 @@ def _centres_in_images(centres: DataFrame, images: DataFrame, dist: int, cell: i
     held = F.col("centerx").between(F.col("xstart") - dist, F.col("xend") + dist) & F.col("centery").between(
         F.col("ystart") - dist, F.col("yend") + dist
     )
-    return grid_join(frames, points, dims, held, hot_rows=None).select(
+    return grid_join(frames, points, dims, held, hot_rows=HOT_ROWS).select(
         "obsid",
         "imageid",
         "xstart",
@@ -139,8 +147,10 @@ def cutouts(
     )
     # Written once: the raster is then filtered by a small table of known size, before its shuffle.
     tiles = materialize(tiles, "cutout-tiles")
-    wanted = tiles.select("imageid", band_of(F.col("tile"), ratio).alias("band"), "tile").distinct()
-    wanted = materialize(wanted, "cutout-wanted")
+    wanted = tiles.groupBy("imageid", band_of(F.col("tile"), ratio).alias("band"), "tile").agg(
+        F.ceil(F.count(F.lit(1)) / TILE_WINDOWS).cast("int").alias("_parts")
+    )
+    wanted, seen = materialize_counted(wanted, "cutout-wanted", {"most": F.max("_parts")})
     keys = ["imageid", "band", "tile"] if "band" in pixels.columns else ["imageid", "tile"]
     # The comparison, true of all tiles, marks the table as one to prune the folders of a raster by.
     strips = (
@@ -151,9 +161,13 @@ def cutouts(
         .agg(F.sort_array(F.collect_list(F.struct("x", "pix"))).alias("_row"))
         .select("imageid", "tile", "y", _dense(F.col("tile") % ratio * tile_size, tile_size).alias("strip"))
     )
-    rows = tiles.withColumn("y", F.explode(F.sequence(F.col("y0"), F.col("y1") - 1))).join(
-        strips, ["imageid", "tile", "y"], "left" if fill else "inner"
-    )
+    on = ["imageid", "tile", "y"]
+    if (seen["most"] or 1) > 1:  # a tile that very many windows want is given to each of its parts
+        parts = wanted.select("imageid", "tile", "_parts")
+        tiles = tiles.join(parts, ["imageid", "tile"]).withColumn("_part", F.pmod(F.xxhash64("obsid"), F.col("_parts")).cast("int"))
+        strips = strips.join(parts, ["imageid", "tile"]).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+        on.append("_part")
+    rows = tiles.withColumn("y", F.explode(F.sequence(F.col("y0"), F.col("y1") - 1))).join(strips, on, "left" if fill else "inner")
     found = rows.withColumn("x", F.explode(F.sequence(F.col("x0"), F.col("x1") - 1))).withColumn(
         "pix", F.get("strip", F.pmod(F.col("x"), F.lit(tile_size)))
     )
