@@ -15,6 +15,9 @@ text lies in the formatted string, and whether the loss counts it.
 A parent that is not there makes its child a root.  Messages of a reply cycle lie on no path and are
 left out, as are messages with a null node.  A null text or role counts as empty; a null tree is a
 tree of its own.  Equal scores go to the smaller leaf.  Empty tables give no rows.
+A (tree, node) is expected once; rows that repeat one are joined each and repeat on the paths through it.  Other
+columns are not read.  A conversation is one
+row, so the longest, with its longest text, bounds the memory of its task.
 """
 
 from __future__ import annotations

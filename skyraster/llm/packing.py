@@ -12,7 +12,8 @@ bounded dictionaries.  Pieces of plain Latin-1 characters are split as the token
 their parts go straight to its BPE model; all others go through the whole tokenizer.
 
 A null text counts as empty and gives one piece with the end id only; repeated rows are packed once
-each.  Other columns are ignored.  Window numbers come from the number of the input partition, so a
+each.  A text is encoded whole, so the longest one bounds the memory of its task; an empty table gives no pieces.
+Other columns are ignored.  Window numbers come from the number of the input partition, so a
 task that runs again gives the same windows.
 """
 

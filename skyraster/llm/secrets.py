@@ -10,7 +10,7 @@ that overlap a match of the allow-list (leftmost, non-overlapping matches) are s
 
 Positions are code points, the end is exclusive.  A null text counts as empty; an empty text, a
 table without rows, repeated rows and other columns of any name change nothing else: each row gets
-its own result.
+its own result.  A text is searched whole, so the longest one bounds the memory of its task.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ broken by a hash, so one value may hold any share of the rows and still be split
 
 The tree is a conditional expression over the row, so it needs no join.  Null metadata come first in
 their dimension; a null text has no bytes.  Repeated rows may lie in one shard or several.  An empty
-table gives no rows; shards are empty where there are fewer rows than shards.
+table gives no rows; shards are empty where there are fewer rows than shards.  A text longer than a shard's share
+makes its shard as much larger, as rows are not cut.  Other columns of any name are left alone.
 """
 
 from __future__ import annotations

@@ -14,7 +14,9 @@ blocks of the other bits that a pair within the radius must share (also without
 what is still crowded then is compared slice against slice, in as many tasks as there are slice pairs.
 
 A null text counts as one without words; its fingerprint is zero and links like any other.  Rows
-with a null doc_id take part and get the smallest doc_id of their component, null if it has none.
+with a null doc_id take part and get the smallest doc_id of their component, null if it has none.  Repeated rows are
+one class.  An empty table gives no rows.  A text is hashed whole, in parts of 65,536 shingles at a time for the bits.
+Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations

@@ -11,6 +11,7 @@ Queries and candidates are dealt into blocks by hash; a task compares one block
 that are null, or hold null or non-finite components, take no part, nor do null ids; vectors of
 different lengths are never compared.  Rows that repeat a vec_id are candidates each, but never for a
 query of their own id, and a repeated query is answered once.  Scores beyond 64 bits are cut to them.
+An empty table, or one without queries, gives no rows.  Other columns are not read.
 """
 
 from __future__ import annotations

@@ -8,7 +8,9 @@ count for more than their sum.
 
 The labelled rows are a sample of ``bound`` at most, by hash, with the rest of the texts left alone;
 scores depend on the text only.  A null or empty text has no terms and gets the score of the bias.
-Without labels of both kinds every score is 0.
+Without labels of both kinds every score is 0.  Repeated rows are scored each; a repeated label counts once.  Terms
+of a whole text are hashed, however long it is, so the longest text bounds the memory of its task.  Columns other
+than doc_id and text are not read.  An empty table gives no rows.
 """
 
 from __future__ import annotations
