@@ -7,6 +7,9 @@ state is kept, a lost task repeats the same counts, and repeated rows of one doc
 The copies are then put in the order of a second hash over the whole mixture; that hash is uniform, so
 its ranges are known without sampling the data.
 
+A large rate (a small source must fill its share) is split into draws of a bounded mean with hashes of their own,
+whose sum has the same distribution, so a source's table has a bounded length at any rate.
+
 A null source is a source of its own and a null text counts as empty; an empty table gives an empty
 mixture.  A source that the weights do not name has the default weight; weight 0 leaves it out.
 """
@@ -19,9 +22,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize_counted
+from .common import let
 
-#: Source tables up to this many rows are broadcast; larger ones are joined by source and salt.
-BROADCAST_SOURCES = 20_000
+#: A greater rate is the sum of several draws of this mean at most, so that no table of a source is long.
+DRAW_RATE = 64.0
+#: Source tables with up to this many entries (8 bytes each) are broadcast; larger ones are joined by source and salt.
+BROADCAST_ENTRIES = 1 << 20
 SALTS = 32
 
 
@@ -32,7 +38,7 @@ def uniform_hash(digits: int, *parts: Column) -> Column:
 
 
 def poisson_cdf(rate: Column) -> Column:
-    """P(X <= k) for k = 0, 1, ... until the rest is below the resolution of the hash."""
+    """P(X <= k) for k = 0, 1, ... until the rest is below the resolution of the hash; for rates up to ``DRAW_RATE``."""
     last = F.ceil(rate + 12 * F.sqrt(rate) + 30).cast("int")
     start = F.struct((-rate).alias("log"), F.array(F.exp(-rate)).alias("cdf"))
 
@@ -68,26 +74,34 @@ def source_rates(
 
 def replicate(docs: DataFrame, rates: DataFrame, seed: int = 11) -> DataFrame:
     """Add ``n_copies`` and ``copy`` (from 1) and repeat each row by its Poisson count."""
-    tables, seen = materialize_counted(
-        rates.select(F.col("source").alias("_source"), poisson_cdf(F.col("rate")).alias("_cdf")), "source-tables"
-    )
-    if seen["rows"] <= BROADCAST_SOURCES:
-        joined = docs.join(F.broadcast(tables), F.col("source").eqNullSafe(F.col("_source")))
+    draws = F.greatest(F.lit(1), F.ceil(F.col("rate") / DRAW_RATE)).cast("int")
+    tables = rates.select(F.col("source").alias("of"), draws.alias("draws"), (F.col("rate") / draws).alias("mean"))
+    tables = tables.select("of", "draws", poisson_cdf(F.col("mean")).alias("cdf"))
+    tables, seen = materialize_counted(tables, "source-tables", {"entries": F.sum(F.size("cdf"))})
+    rows = docs.select(F.struct("*").alias("row"), "source", "doc_id")
+    if (seen["entries"] or 0) <= BROADCAST_ENTRIES:
+        joined = rows.join(F.broadcast(tables), F.col("source").eqNullSafe(F.col("of")))
     else:
-        salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))
-        spread = tables.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = docs.withColumn("_own", salt).join(
-            spread, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_own") == F.col("_salt"))
+        spread = tables.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = rows.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).join(
+            spread, F.col("source").eqNullSafe(F.col("of")) & (F.col("own") == F.col("salt"))
         )
-    draw = (uniform_hash(13, F.lit(seed), F.col("doc_id")) + 0.5) / float(1 << 52)
-    # The smallest k with cdf(k) >= draw is the number of entries below the draw.
-    counted = joined.withColumn("_draw", draw).withColumn(
-        "n_copies", F.size(F.filter("_cdf", lambda p: p < F.col("_draw"))).cast("long")
+
+    def copies(hashed: Column) -> Column:
+        """The smallest k with cdf(k) >= draw is the number of entries below the draw."""
+        return let((hashed + 0.5) / float(1 << 52), lambda draw: F.size(F.filter("cdf", lambda p: p < draw)))
+
+    more = F.aggregate(
+        F.sequence(F.lit(1), F.col("draws") - 1),
+        F.lit(0).cast("long"),
+        lambda total, n: total + copies(uniform_hash(13, F.lit(seed), F.col("doc_id"), n)),
     )
+    first = copies(uniform_hash(13, F.lit(seed), F.col("doc_id"))).cast("long")
+    counted = joined.withColumn("n_copies", F.when(F.col("draws") > 1, first + more).otherwise(first))
     return (
         counted.filter(F.col("n_copies") > 0)
         .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_copies"))))
-        .select(*docs.columns, "n_copies", "copy")
+        .select("row.*", "n_copies", "copy")
     )
 
 

@@ -7,7 +7,8 @@ before the next rule is learned.  The list is applied as one CASE WHEN expressio
 
 A null text has no words.  Labelled rows are sampled by hash, ``bound`` of them at most; a label
 of null, of a document that is not there, or that repeats is ignored or counted once.  Without labels
-the list is empty and only the fixed base rules reject.
+the list is empty and only the fixed base rules reject.  Repeated rows are judged each, whole texts however long they
+are; an empty table gives no rows.  Columns of the names that are added are replaced, others keep their values.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import WORD
+from .common import WORD, free_name
 
 STATS = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
@@ -91,7 +92,9 @@ def with_stats(docs: DataFrame, text: str = "text") -> DataFrame:
         return pd.DataFrame([text_stats(t) for t in texts], columns=NAMES, dtype="int64")
 
     rest = [c for c in docs.columns if c.lower() not in NAMES]
-    return docs.select(*rest, stats(F.col(text).cast("string")).alias("_stats")).select(*rest, "_stats.*")
+    own = free_name(docs, "stats")
+    rest = [f"`{c}`" for c in rest]
+    return docs.select(*rest, stats(F.col(text).cast("string")).alias(own)).select(*rest, f"{own}.*")
 
 
 def ratios() -> dict[str, Column]:
@@ -248,9 +251,9 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = 20_000, **options) -> l
     return learn_rules(table[list(columns)], table["label"].to_numpy() == 0, **options)
 
 
-def judge(docs: DataFrame, rules: list[Rule]) -> DataFrame:
+def judge(docs: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:
     """Add the statistics, ``base_failed``, ``rule`` (the number of the rule that rejects) and ``kept``."""
-    out = with_stats(docs.drop("base_failed", "rule", "kept"))
+    out = with_stats(docs.drop("base_failed", "rule", "kept"), text)
     out = out.withColumn("base_failed", base_failed()).withColumn("rule", rule_number(rules))
     return out.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
 
