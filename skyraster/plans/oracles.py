@@ -253,6 +253,7 @@ LEFT JOIN (
 
 # --- generator ---------------------------------------------------------------------------------------
 
+# Fixed values of the data set: multiplier, addend and range of the random numbers; below, the sequence of tile numbers.
 RAND = "(((790388361::HUGEINT * ({t}) + 551188310) & 1073741823)::DOUBLE / 1073741824::DOUBLE)"
 
 
