@@ -27,7 +27,7 @@ from .common import let
 #: A greater rate is the sum of several draws of this mean at most, so that no table of a source is long.
 DRAW_RATE = 64.0
 #: Source tables with up to this many entries (8 bytes each) are broadcast; larger ones are joined by source and salt.
-BROADCAST_ENTRIES = 1 << 20
+BROADCAST_SOURCES = 1 << 20
 SALTS = 32
 
 
@@ -79,7 +79,7 @@ def replicate(docs: DataFrame, rates: DataFrame, seed: int = 11) -> DataFrame:
     tables = tables.select("of", "draws", poisson_cdf(F.col("mean")).alias("cdf"))
     tables, seen = materialize_counted(tables, "source-tables", {"entries": F.sum(F.size("cdf"))})
     rows = docs.select(F.struct("*").alias("row"), "source", "doc_id")
-    if (seen["entries"] or 0) <= BROADCAST_ENTRIES:
+    if (seen["entries"] or 0) <= BROADCAST_SOURCES:
         joined = rows.join(F.broadcast(tables), F.col("source").eqNullSafe(F.col("of")))
     else:
         spread = tables.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
