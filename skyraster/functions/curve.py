@@ -6,27 +6,36 @@ the curve lies in the square around it: mirrored in both axes (flip), with axes
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
 def hilbert_key(x: Column, y: Column, bits: Column) -> Column:
-    """Number of cell (x, y), 0 <= x, y < 2^bits, as a long; up to 31 bits."""
+    """Number of cell (x, y), 0 <= x, y < 2^bits, as a long; up to 31 bits.
 
-    def step(state: Column, bit: Column) -> Column:
-        swap, flip = state["swap"], state["flip"]
-        one = lambda c: F.call_function("shiftright", c, bit).bitwiseAND(F.lit(1).cast("long"))
-        rx = F.when(swap == 1, one(y)).otherwise(one(x)).bitwiseXOR(flip)
-        ry = F.when(swap == 1, one(x)).otherwise(one(y)).bitwiseXOR(flip)
-        return F.struct(
-            (state["key"] * 4 + (rx * 3).bitwiseXOR(ry)).alias("key"),
-            F.when((ry == 0) & (rx == 1), 1 - flip).otherwise(flip).alias("flip"),
-            F.when(ry == 0, 1 - swap).otherwise(swap).alias("swap"),
-        )
+    Computed for many rows at a time.  All 32 bits are read; each bit above the first is 0 on both sides and exchanges
+    the axes, so the start is chosen to be plain at the first bit.
+    """
+
+    @F.pandas_udf("long")
+    def number(xs, ys, sizes):
+        x, y, swap = xs.to_numpy(), ys.to_numpy(), sizes.to_numpy() & 1
+        key, flip = np.zeros_like(x), np.zeros_like(x)
+        for bit in range(31, -1, -1):
+            bx, by = x >> bit & 1, y >> bit & 1
+            other = (bx ^ by) * swap
+            rx, ry = bx ^ other ^ flip, by ^ other ^ flip
+            key = key << 2 | rx * 3 ^ ry
+            flip, swap = flip ^ rx & 1 - ry, swap ^ 1 - ry
+        return pd.Series(key)
+
+    def whole(value: Column) -> Column:
+        return F.coalesce(value.cast("long"), F.lit(0).cast("long"))
 
-    zero = F.lit(0).cast("long")
-    start = F.struct(zero.alias("key"), zero.alias("flip"), zero.alias("swap"))
-    return F.aggregate(F.sequence(bits - 1, F.lit(0), F.lit(-1)), start, step, lambda s: s["key"])
+    known = x.isNotNull() & y.isNotNull() & bits.isNotNull()
+    return F.when(known, number(whole(x), whole(y), whole(bits)))
 
 
 def key_ranges(box: tuple[int, int, int, int], bits: int, most: int = 32) -> list[tuple[int, int]]:
