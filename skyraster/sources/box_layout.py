@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.curve import hilbert_key, key_ranges
 from ..functions.geometry import Rect, corners
+from ..session import materialize
 
 LEVEL, KEY = "_level", "_key"
 #: Coordinates are shifted to non-negative numbers of 32 bits.
@@ -58,7 +59,8 @@ def write_boxes(
 ) -> None:
     """Store ``rows`` below ``path``; ``folders`` are columns that become folders (a cycle, say)."""
     folders = folders or []
-    placed = _indexed(rows, box, points or [], least_level)
+    # Written once, as dealing into ranges reads its input twice.
+    placed = materialize(_indexed(rows, box, points or [], least_level), "placed-boxes")
     order = [*folders, LEVEL, KEY]
     writer = placed.repartitionByRange(*order).sortWithinPartitions(*order).write.option("parquet.block.size", row_group_bytes)
     writer.partitionBy(*folders).parquet(f"{path}/rows")
