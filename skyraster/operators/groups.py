@@ -17,6 +17,7 @@ from ..functions.geometry import Rect, box_inside, point_in_rect
 from ..functions.ordinals import running_offset
 from ..session import materialize, materialize_counted
 from .pairs import MotionPairs, motion_pairs
+from .sweep import Fold, Tiling, fold_blocks, tiling
 
 #: Pairs followed per job while groups grow.
 HOPS_PER_ROUND = 4
@@ -41,6 +42,8 @@ MEETINGS = 3
 #: A block of at most so many members, and of so many points of their outlines, is listed as one array.
 LIST_ROWS = 10_000
 LIST_POINTS = 65_536
+#: More packed rows than that are folded by the bits of a block, in batches.
+LISTED_ROWS = 1_000_000
 #: Observation ids of one time are split into slices of this many ids for ordering.
 SLICE_IDS = 65_536
 
@@ -336,10 +339,11 @@ def _moving(pairs: MotionPairs, members: PackedMembers | None, singletons_of: Da
     """New memberships of pairs that are found on the way, by one sweep over times; None where an observation has several
     places or no id, times are many or pairs are few.
 
-    The pairs are made twice and never sent: once to see who has predecessors and successors, and once where the rows
-    of the last ``t`` times meet the observations of the next in a cell; there they are folded to a row for each block
-    and observation.  So what is shuffled and written grows with the observations and the blocks they are in.  Groups
-    that start near each other are dealt to blocks together.
+    The pairs are made twice and never sent: once to see who has predecessors and successors, and once where memberships
+    are passed on.  Both is done in tiles of the sky (:mod:`.sweep`), which take many times in one job.  Where a tile would
+    be too crowded for a task, pairs are joined, and the rows of the last ``t`` times meet the observations of the next in a
+    cell; there they are folded to a row for each block and observation.  So what is shuffled and written grows with the
+    observations and the blocks they are in.  Groups that start near each other are dealt to blocks together.
     """
     place = ["obsid", "time", "centerx", "centery"]
     spot = F.struct("time", "centerx", "centery")
@@ -356,11 +360,16 @@ def _moving(pairs: MotionPairs, members: PackedMembers | None, singletons_of: Da
         return None
 
     # 1: has a predecessor, 2: has a successor or starts a group anyway.
-    linked = replace(pairs, obs=places).rows()
-    ends = F.array(*[F.struct(F.col(c).alias("obsid"), F.lit(n).alias("end")) for c, n in (("new_obsid", 1), ("existing_obsid", 2))])
-    roots = linked.select(F.inline(ends)).groupBy("obsid").agg(F.bit_or("end").alias("end"), F.count(F.lit(1)).alias("met"))
+    tiles = tiling(pairs, places, times)
+    if tiles is not None:
+        roots = tiles.ends(places)
+    else:
+        linked = replace(pairs, obs=places).rows()
+        ends = F.array(*[F.struct(F.col(c).alias("obsid"), F.lit(n).alias("end")) for c, n in (("new_obsid", 1), ("existing_obsid", 2))])
+        roots = linked.select(F.inline(ends)).groupBy("obsid").agg(F.bit_or("end").alias("end"), F.count(F.lit(1)).alias("met"))
     roots, seen = materialize_counted(roots, "group-ends", {"met": F.sum("met")})
-    if (seen["met"] or 0) <= 2 * LISTED_PAIRS:
+    # The join sees a pair from both of its ends, a tile from the later one.
+    if (seen["met"] or 0) <= (LISTED_PAIRS if tiles is not None else 2 * LISTED_PAIRS):
         return None
     roots = roots.drop("met")
     if singletons_of is not None:
@@ -390,6 +399,9 @@ def _moving(pairs: MotionPairs, members: PackedMembers | None, singletons_of: Da
         known = materialize(known, "group-known")
 
     found = [placed.filter(F.col("time").isNull())]
+    if tiles is not None:
+        found += _in_tiles(tiles, places, times, placed, known)
+        return _new_members(reduce(DataFrame.unionByName, found).select("block", "obsid", "bits"), names, members)
     recent: list[tuple[int, DataFrame]] = []
     for now in times:
         start = placed.filter(F.col("time") == now)
@@ -410,6 +422,18 @@ def _moving(pairs: MotionPairs, members: PackedMembers | None, singletons_of: Da
     return _new_members(reduce(DataFrame.unionByName, found).select("block", "obsid", "bits"), names, members)
 
 
+def _in_tiles(tiles: Tiling, places: DataFrame, times: list[int], placed: DataFrame, known: DataFrame | None) -> list[DataFrame]:
+    """Memberships by slices of time; a slice takes what the ``t`` times before it hold."""
+    held = placed.filter(F.col("time").isNotNull())
+    if known is not None:
+        held = held.unionByName(known)
+    found: list[DataFrame] = []
+    for number in sorted({(time - tiles.first) // tiles.span for time in times}):
+        rows = tiles.members(number, places, reduce(DataFrame.unionByName, found[-1:], held))
+        found.append(materialize(rows, "group-time"))
+    return found
+
+
 def groups_of(members: Members, ids: DataFrame) -> DataFrame:
     """Groups of the given observations, one row per (obsid, obsgroupid)."""
     if isinstance(members, PackedMembers):
@@ -484,16 +508,27 @@ def group_members(members: Members, chunk: int = 10_000) -> DataFrame:
     )
 
 
-def _folded(members: Members, obs: DataFrame, keys: list[str], rows: dict[str, Column], again: dict[str, Column]) -> DataFrame:
+def _folded(members: Members, obs: DataFrame, keys: list[str], rows: dict[str, Column], again: dict[str, Column], sums: dict[str, Fold]) -> DataFrame:
     """Members with the columns of ``obs`` folded per group and ``keys``.
 
     Packed members that are in the same groups of a block are folded to one row (``rows``) first, and those rows for each
-    group (``again``), so that memberships are not listed.
+    group (``again``), so that memberships are not listed.  More than ``LISTED_ROWS`` of them are folded bit by bit of
+    their blocks instead (``sums``, see :func:`fold_blocks`); rows with a null are left to the listing.
     """
-    if isinstance(members, PackedMembers):
-        alike = members.rows.join(obs, "obsid").groupBy("block", "bits", *keys).agg(*[c.alias(n) for n, c in rows.items()])
+    if not isinstance(members, PackedMembers):
+        return members.join(obs, "obsid").groupBy("obsgroupid", *keys).agg(*[c.alias(n) for n, c in rows.items()])
+    joined = members.rows.join(obs, "obsid")
+
+    def listed(part: DataFrame) -> DataFrame:
+        alike = part.groupBy("block", "bits", *keys).agg(*[c.alias(n) for n, c in rows.items()])
         return members.expand(alike).groupBy("obsgroupid", *keys).agg(*[c.alias(n) for n, c in again.items()])
-    return members.join(obs, "obsid").groupBy("obsgroupid", *keys).agg(*[c.alias(n) for n, c in rows.items()])
+
+    if members.rows.count() <= LISTED_ROWS:
+        return listed(joined)
+    whole = reduce(Column.__and__, [F.col(c).isNotNull() for c in obs.columns])
+    folded = fold_blocks(joined.filter(whole), sums).join(members.names, "block").withColumn("obsgroupid", F.col("names")[F.col("_bit")])
+    folded = folded.groupBy("obsgroupid", *keys).agg(*[c.alias(n) for n, c in again.items()])
+    return folded.unionByName(listed(joined.filter(~whole)))
 
 
 def group_summary(members: Members, obs: DataFrame) -> DataFrame:
@@ -514,8 +549,16 @@ def group_summary(members: Members, obs: DataFrame) -> DataFrame:
     }
     fold = {"_first": F.min, "minx": F.min, "miny": F.min, "maxx": F.max, "maxy": F.max}
     again = {name: fold.get(name, F.sum)(name) for name in rows}
+    sums = {
+        "time": ("least", ("time", "obsid"), "time"),
+        "_first": ("least", ("time", "obsid"), "obsid"),
+        "_n": ("count", (), None),
+        "_sumx": ("sum", ("centerx",), None),
+        "_sumy": ("sum", ("centery",), None),
+        **_box_folds({"minx": "centerx", "miny": "centery", "maxx": "centerx", "maxy": "centery"}),
+    }
     return (
-        _folded(members, obs.select("obsid", "time", "centerx", "centery"), ["time"], rows, again)
+        _folded(members, obs.select("obsid", "time", "centerx", "centery"), ["time"], rows, again, sums)
         .groupBy("obsgroupid")
         .agg(
             F.min(F.struct("time", "_first"))["_first"].alias("first_obsid"),
@@ -532,14 +575,17 @@ def group_summary(members: Members, obs: DataFrame) -> DataFrame:
 
 def group_bbox(members: Members, obs: DataFrame) -> DataFrame:
     """Box around the outline boxes of all members of each group."""
-    rows = {
-        "minx": F.min("boxxstart"),
-        "miny": F.min("boxystart"),
-        "maxx": F.max("boxxend"),
-        "maxy": F.max("boxyend"),
-    }
-    again = {"minx": F.min("minx"), "miny": F.min("miny"), "maxx": F.max("maxx"), "maxy": F.max("maxy")}
-    return _folded(members, obs.select("obsid", "boxxstart", "boxystart", "boxxend", "boxyend"), [], rows, again)
+    box = {"minx": "boxxstart", "miny": "boxystart", "maxx": "boxxend", "maxy": "boxyend"}
+    fold = {name: F.min if name.startswith("min") else F.max for name in box}
+    rows = {name: fold[name](column) for name, column in box.items()}
+    again = {name: fold[name](name) for name in box}
+    found = _folded(members, obs.select("obsid", *box.values()), [], rows, again, _box_folds(box))
+    # Members with a null and those without are folded apart.
+    return found.groupBy("obsgroupid").agg(*[c.alias(n) for n, c in again.items()])
+
+
+def _box_folds(box: dict[str, str]) -> dict[str, Fold]:
+    return {name: (name[:3], (column,), None) for name, column in box.items()}
 
 
 def _step_members(members: DataFrame, obs: DataFrame, columns: list[str]) -> DataFrame:

@@ -6,7 +6,7 @@ from dataclasses import replace
 import pytest
 from brute import grow_groups
 
-from skyraster.operators import groups
+from skyraster.operators import groups, sweep
 from skyraster.operators.pairs import MotionPairs
 
 SCHEMA = "obsid long, time int, centerx int, centery int"
@@ -109,3 +109,56 @@ def test_members_alike_are_folded_before_they_are_listed(spark, monkeypatch):
         assert sorted(query(packed, obs).collect()) == sorted(query(plain, obs).collect())
     # Two times of four sets of groups, of 280 memberships.
     assert [rows.count() for rows in listed] == [12, 6]
+
+
+def test_slices_of_time_and_crowded_tiles(spark, written, monkeypatch):
+    moving, _, expected = crowd(spark)
+    # Three jobs of time, not one a time, and a table of many tiles.
+    monkeypatch.setattr(sweep, "SPANS", (3,))
+    assert memberships(groups.accumulate(moving)) == expected
+    monkeypatch.setattr(sweep, "TILE_ROWS", 0)
+    monkeypatch.setattr(sweep, "CHUNK", 64)
+    assert sweep.tiling(moving, moving.obs.na.drop(), list(range(6))) is None
+    assert memberships(groups.accumulate(moving)) == expected
+
+
+def test_times_of_a_slice_are_swept_in_one_job(spark, written, monkeypatch):
+    moving, _, expected = crowd(spark)
+    jobs, write = [], groups.materialize
+
+    def stored(df, name, *args, **kwargs):
+        jobs.append(name)
+        return write(df, name, *args, **kwargs)
+
+    monkeypatch.setattr(groups, "materialize", stored)
+    monkeypatch.setattr(sweep, "TILE_BLOCKS", 1)
+    monkeypatch.setattr(sweep, "CHUNK", 64)
+    assert memberships(groups.accumulate(moving)) == expected
+    assert jobs.count("group-time") == 1 and "group-time" not in {name for name, _ in written}
+
+
+def test_many_packed_rows_are_folded_by_bit(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(block, i, rng.getrandbits(64) - (1 << 63)) for block in (-5, 64) for i in range(150)]
+    names = [(block, [block * 1000 + k for k in range(64)]) for block in (-5, 64)]
+    packed = groups.PackedMembers(
+        spark.createDataFrame(rows, "block long, obsid long, bits long"), spark.createDataFrame(names, "block long, names array<long>")
+    )
+    plain = [(block * 1000 + k, i) for block, i, bits in rows for k in range(64) if bits >> k & 1]
+    plain = spark.createDataFrame(plain, "obsgroupid long, obsid long")
+    columns = "obsid long, time int, centerx int, centery int, boxxstart int, boxystart int, boxxend int, boxyend int"
+    places = [(i, i % 7, *[rng.randrange(-90, 90) for _ in range(6)]) for i in range(150)]
+    odd = [(3, None, 5, 5, 1, 1, 2, 2), (4, 2, None, 900, 1, None, 2, 2), places[8]]
+    obs = spark.createDataFrame(places + odd, columns)
+    expected = [sorted(query(plain, obs).collect()) for query in (groups.group_summary, groups.group_bbox)]
+    monkeypatch.setattr(groups, "LISTED_ROWS", 0)
+    listed, expand = [], groups.PackedMembers.expand
+
+    def seen(self, rows=None):
+        listed.append(expand(self, rows))
+        return listed[-1]
+
+    monkeypatch.setattr(groups.PackedMembers, "expand", seen)
+    assert [sorted(query(packed, obs).collect()) for query in (groups.group_summary, groups.group_bbox)] == expected
+    # Only the odd rows are listed.
+    assert all(rows.select("obsgroupid").distinct().count() < 128 and rows.count() < 300 for rows in listed)
