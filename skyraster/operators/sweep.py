@@ -37,7 +37,7 @@ ROW = ["block", *PLACE, "bits"]
 ROW_SCHEMA = "block long, obsid long, time int, centerx int, centery int, bits long"
 
 
-def _meetings(xn, yn, xe, ye, limit: float, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def meetings(xn, yn, xe, ye, limit: float, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Numbers of new and existing places at most ``limit`` apart, ordered by the new one within what comes at once.
 
     Existing places are sorted by strip and x, so a place looks at one range in each of at most two strips.
@@ -97,7 +97,7 @@ class _Tile:
                 old = held(np.sort(at[now - step]))
                 if len(old):
                     places = self.x[new], self.y[new], self.x[old], self.y[old]
-                    for i, j in _meetings(*places, float(d2) * float(step), most):
+                    for i, j in meetings(*places, float(d2) * float(step), most):
                         if len(i):
                             yield new[i], old[j]
 
