@@ -9,6 +9,9 @@ class, so all bands miss it with probability (3/4)^bands at most, 1e-4 for 32.
 without a shared shingle of five words, so every shingle is first looked up among those of all templates, and
 only windows that hold one are hashed, by these shingles alone: what a band would have met it still meets.
 
+Most texts hold no shingle of any template.  They are found many at a time, by sums over the bytes of a batch
+(``span_hashes``), without making a string of any word; only the others are split into words.
+
 Candidates are verified by their shingles as words, not hashes: the share of the template's distinct
 shingles that lie in the window must be 0.8 or more.  A licence may have several templates.  Of every
 (document, licence) all verified occurrences that do not overlap are reported, of overlapping ones that with the
@@ -26,6 +29,7 @@ import re
 from collections import Counter, deque
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -84,12 +88,78 @@ def _shingles(words: list[str]) -> list[tuple[str, ...]]:
     return list(zip(*(words[i:] for i in range(width)), strict=False)) if width else []
 
 
+#: Letters and digits in lower case, 0 for all other bytes.
+_LOWER = np.array([ord(chr(b).lower()) if b < 128 and chr(b).isalnum() else 0 for b in range(256)], dtype=np.uint8)
+_BASE = 0x9E3779B97F4A7C15
+#: Bytes of texts that are looked through together, about.  A text of more than ``SIFT_MOST`` is split into words at once.
+SIFT_BYTES = 1 << 17
+SIFT_MOST = 1 << 20
+#: The one letter outside of ASCII whose lower case is in it.
+_KELVIN = "\u212a".encode()
+
+
+@lru_cache(maxsize=1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first powers of an odd number and of its inverse."""
+    both = np.empty((2, n), dtype=np.uint64)
+    both[0], both[1] = _BASE, pow(_BASE, -1, 1 << 64)
+    both[:, 0] = 1
+    return tuple(np.multiply.accumulate(both, axis=1))
+
+
+def span_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs of five ASCII words, and the place behind the first word of each.
+
+    Bytes outside of ASCII end a word.  So a word that holds one is taken for others, but a run of words without any is
+    found, whatever stands between them.
+    """
+    low = _LOWER[np.frombuffer(text + b" ", dtype=np.uint8)]
+    word = low != 0
+    ends = np.flatnonzero(word[:-1] & ~word[1:]) + 1
+    if len(ends) < SHINGLE:
+        return np.zeros(0, dtype=np.uint64), ends[:0]
+    word[ends] = True  # a separator of one byte behind each word
+    kept = low[word]
+    power, inverse = _powers(max(2 * SIFT_MOST, 1 << len(kept).bit_length()))
+    sums = np.zeros(len(kept) + 1, dtype=np.uint64)
+    np.cumsum((kept + np.uint8(1)) * power[: len(kept)], out=sums[1:])
+    behind = np.flatnonzero(kept == 0) + 1
+    first = np.append(0, behind[: -SHINGLE])
+    return (sums[behind[SHINGLE - 1 :]] - sums[first]) * inverse[first], ends[: len(first)]
+
+
 def _words(text: str) -> list[str]:
     """Lower-cased words; a letter whose lower case is two characters does not move the words behind it."""
     lower = text.lower()
     return WORD.findall(lower) if len(lower) == len(text) else [w.lower() for w in WORD.findall(text)]
 
 
+def _listed(hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes, sorted, and a bit for the upper 20 bits of each."""
+    every = np.unique(np.concatenate(hashes))
+    bits = np.zeros(1 << 20, dtype=bool)
+    bits[every >> np.uint64(44)] = True
+    return every, bits
+
+
+def _among(hashes: np.ndarray, every: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Positions of the hashes that are in ``every``."""
+    at = np.flatnonzero(bits[hashes >> np.uint64(44)])
+    if not len(at):
+        return at
+    near = np.minimum(np.searchsorted(every, hashes[at]), len(every) - 1)
+    return at[every[near] == hashes[at]]
+
+
+def _cuts(ends: np.ndarray, most: int) -> Iterator[slice]:
+    """Slices of texts that end at ``ends``, of ``most`` bytes each or of one text."""
+    start = 0
+    while start < len(ends):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, "right")))
+        yield slice(start, stop)
+        start = stop
+
+
 @dataclass
 class Index:
     """MinHash tables of the templates, by length class."""
@@ -105,7 +175,8 @@ class Index:
         self.a, self.b = _mix(self.bands)
         known: dict[str, int] = {}
         members: dict[int, list] = {}
-        every = [np.zeros(0, dtype=np.uint64)]
+        every, spans = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.uint64)]
+        self.short, self.ascii = False, True
         texts = [(name, [text] if isinstance(text, str) else text) for name, text in self.templates.items()]
         for name, text in [((name, n), text) for name, own in texts for n, text in enumerate(own)]:
             words = WORD.findall(text.lower())
@@ -117,23 +188,37 @@ class Index:
                 half *= 2
             self.half_of[name] = half
             every.append(_shingle_hashes(words, known))
+            self.short |= len(words) < SHINGLE
+            self.ascii &= all(w.isascii() for w in words)
+            spans.append(span_hashes(" ".join(words).encode())[0])
             members.setdefault(half, []).append((name, (self.a * every[-1] + self.b).min(axis=1)))
         for half, own in members.items():
             names, least = [n for n, _ in own], np.stack([m for _, m in own], axis=1)
             order = np.argsort(least, axis=1, kind="stable")
             self.classes[half] = [names, least, np.take_along_axis(least, order, axis=1), order]
         #: All shingles of templates, and a bit for the upper 20 bits of each.
-        self.every = np.unique(np.concatenate(every))
-        self.bits = np.zeros(1 << 20, dtype=bool)
-        self.bits[self.every >> np.uint64(44)] = True
+        self.every, self.bits = _listed(every)
+        #: The same of :func:`span_hashes`.
+        self.spans, self.span_bits = _listed(spans)
 
     def hits(self, hashes: np.ndarray) -> np.ndarray:
         """Positions of shingles that some template has."""
-        at = np.flatnonzero(self.bits[hashes >> np.uint64(44)])
-        if not len(at):
-            return at
-        near = np.minimum(np.searchsorted(self.every, hashes[at]), len(self.every) - 1)
-        return at[self.every[near] == hashes[at]]
+        return _among(hashes, self.every, self.bits)
+
+    def sift(self, texts: list[str]) -> np.ndarray:
+        """Numbers of the texts that may match: no text that shares a shingle with a template is left out."""
+        raw = [t.encode() for t in texts]
+        chosen = np.array([len(t) > SIFT_MOST or _KELVIN in t or not (self.ascii or t.isascii()) for t in raw], dtype=bool)
+        rest = np.flatnonzero(~chosen)
+        ends = np.cumsum([len(raw[i]) + 1 for i in rest])
+        for part in _cuts(ends, SIFT_BYTES):
+            hashes, places = span_hashes(b"\n".join(raw[i] for i in rest[part]))
+            behind = ends[part] - (ends[part.start - 1] if part.start else 0)
+            found = np.searchsorted(behind, places[_among(hashes, self.spans, self.span_bits)], "right")
+            chosen[rest[part][found]] = True
+        if self.short:
+            chosen |= [len(t) < 1 << 10 and len(WORD.findall(t)) < SHINGLE for t in texts]
+        return np.flatnonzero(chosen)
 
     def candidates(self, hashes: np.ndarray) -> set[tuple[tuple[str, int], int, int]]:
         """(template, first, last shingle position) of windows that meet a template in a band.
@@ -263,10 +348,11 @@ def scan_licenses(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
         for batch in by_size(batches, "text"):
+            texts = [t.as_py() or "" for t in batch.column("text")]
             rows = [
-                (doc_id, *match)
-                for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True)
-                for match in index.matches(text.as_py() or "", known)
+                (batch.column("doc_id")[n].as_py(), *match)
+                for n in index.sift(texts).tolist()
+                for match in index.matches(texts[n], known)
             ]
             columns = zip(*rows, strict=True) if rows else [[] for _ in _SCHEMA]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SCHEMA, strict=True)], schema=_SCHEMA)

@@ -83,3 +83,33 @@ def test_all_occurrences(spark):
     bsd = licenses.TEMPLATES["bsd"]
     rows = licenses.scan_licenses(spark.createDataFrame([(1, f"{bsd}; {bsd} {apart} {bsd}")], "doc_id long, text string")).collect()
     assert sorted(r.window_start for r in rows) == [0, len(bsd) + 2, 2 * len(bsd) + len(apart) + 4] and {r.containment for r in rows} == {1.0}
+
+
+def test_few_texts_are_split_into_words(monkeypatch):
+    """A text that shares no shingle with a template is not split; one that shares any always is."""
+    index = licenses.Index(license_library.library())
+    notice = "Released under the MIT License."
+    plain = " ".join(f"w{i}" for i in range(60))
+    odd = ["released under “the” MIT, license", "naïve released_under...the mit license", f"{plain} Released under the MİT License", "released under the mit lïcense"]
+    texts = [plain, notice, "", f"{plain}\n{notice}", "released under the", "the MIT License", *odd, "under the K", f"{plain} " * 9]
+    monkeypatch.setattr(licenses, "SIFT_BYTES", 256)
+    sifted = set(index.sift(texts).tolist())
+    known: dict = {}
+    held = {i for i, t in enumerate(texts) if (words := licenses._words(t)) and len(index.hits(licenses._shingle_hashes(words, known)))}
+    assert held == {1, 3, 6, 7} and sifted == held | {10}
+    # A template of fewer words than a shingle, and one with a word outside of ASCII, rule out less.
+    odd = licenses.Index({"a": "all rights reserved", "b": "le café est à tout le monde"})
+    texts = [plain, "All rights reserved.", "le Café est à tout le monde"]
+    assert [len(odd.matches(texts[i], {})) for i in odd.sift(texts)] == [1, 1]
+    monkeypatch.setattr(licenses, "SIFT_MOST", 100)
+    assert list(odd.sift(texts)) == [0, 1, 2]
+
+
+def test_only_sifted_texts_are_split(monkeypatch):
+    seen = []
+    words = licenses._words
+    monkeypatch.setattr(licenses, "_words", lambda text: (seen.append(text), words(text))[1])
+    index = licenses.Index(license_library.library())
+    texts = [" ".join(f"w{i * j}" for i in range(50)) for j in range(40)] + ["Released under the MIT License."]
+    found = [m for n in index.sift(texts) for m in index.matches(texts[n], {})]
+    assert len(found) == 1 and seen == texts[-1:]
